@@ -22,11 +22,13 @@ from lapcast.schema import QUANTILES
 NAMES = ["q10", "q50", "q90"]
 
 
-def by_horizon(windows: DataFrame, keep: Sequence[str], anchor: Column) -> DataFrame:
-    """One row per (window, horizon) with the true value ``y`` and the last known value ``last``."""
-    return windows.select(*keep, anchor.cast("double").alias("last"), F.posexplode("target").alias("_h", "y")).select(
-        *keep, "last", (F.col("_h") + 1).alias("horizon"), "y"
-    )
+def by_horizon(windows: DataFrame, keep: Sequence[str], anchor: Column, horizon: int | None = None) -> DataFrame:
+    """One row per (window, horizon) with the last known value ``last`` and, where known, the true ``y``."""
+    if "target" in windows.columns:
+        steps = windows.select(*keep, anchor.cast("double").alias("last"), F.posexplode("target").alias("_h", "y"))
+        return steps.select(*keep, "last", (F.col("_h") + 1).alias("horizon"), "y")
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon")
+    return windows.select(*keep, anchor.cast("double").alias("last"), ahead)
 
 
 def fit_empirical_quantiles(
@@ -40,12 +42,18 @@ def fit_empirical_quantiles(
     )
 
 
-def predict_empirical(windows: DataFrame, model: DataFrame, value: str, keep: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Last value plus the change quantiles of the window's group, one row per horizon."""
+def predict_empirical(
+    windows: DataFrame, model: DataFrame, value: str, keep: Sequence[str], by: Sequence[str] = (), horizon: int = 3
+) -> DataFrame:
+    """Last value plus the change quantiles of the window's group, one row per horizon.
+
+    ``horizon`` matters only for windows without a target.
+    """
     kept = list(dict.fromkeys([*keep, *by]))
-    steps = by_horizon(windows, kept, F.element_at("past", -1)[value])
+    steps = by_horizon(windows, kept, F.element_at("past", -1)[value], horizon)
     scored = lookup_join(steps, model, [*by, "horizon"])
-    return scored.select(*keep, "horizon", "y", *[(F.col("last") + F.col(f"d_{n}")).alias(n) for n in NAMES])
+    known = ["y"] if "y" in steps.columns else []
+    return scored.select(*keep, "horizon", *known, *[(F.col("last") + F.col(f"d_{n}")).alias(n) for n in NAMES])
 
 
 def finish_quantiles(df: DataFrame, state: DataFrame | None = None, column: str | None = None, digits: int | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ def build_session(cores: int | str = "*", partitions: int | None = None, app: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     if partitions:
