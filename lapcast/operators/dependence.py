@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapcast.operators.profile import histogram
 from lapcast.plans.ordered import blocks
@@ -63,7 +64,8 @@ def acf(products: DataFrame, roles: Roles, max_lag: int = 10) -> DataFrame:
 
 def pacf(products: DataFrame, roles: Roles, max_lag: int = 10) -> DataFrame:
     """(series, lag, pacf) by the Levinson-Durbin recursion on autocovariances divided by n - k."""
-    covariance = F.transform("products", lambda s, k: s / (F.col("n") - k))
+    used = F.slice("products", F.lit(1), _allowed(max_lag) + 1)
+    covariance = F.transform(used, lambda s, k: s / (F.col("n") - k))
 
     def step(state: Column, k: Column) -> Column:
         phi, sigma = state["phi"], state["sigma"]
@@ -72,7 +74,8 @@ def pacf(products: DataFrame, roles: Roles, max_lag: int = 10) -> DataFrame:
             F.lit(0.0),
             lambda a, b: a + b,
         )
-        last = (F.get("_g", k) - F.when(F.size(phi) > 0, explained).otherwise(F.lit(0.0))) / sigma
+        # A perfectly predictable series leaves no variance to explain: null from there on.
+        last = F.try_divide(F.get("_g", k) - F.when(F.size(phi) > 0, explained).otherwise(F.lit(0.0)), sigma)
         updated = F.concat(F.zip_with(phi, F.reverse(phi), lambda f, r: f - last * r), F.array(last))
         return F.struct(
             updated.alias("phi"),
@@ -100,7 +103,7 @@ def across_series(table: DataFrame, value: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_5_tail(q: pd.Series) -> pd.Series:
     """P(X > q) for a chi-square variable with five degrees of freedom."""
 

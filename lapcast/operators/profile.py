@@ -135,6 +135,8 @@ def kde(df: DataFrame, column: str, points: int = 400, between: tuple[float, flo
     """
     x = missing_if_nan(column)
     n, std, low, high = df.agg(F.count(x), F.stddev_samp(x), F.min(x), F.max(x)).first()
+    if n < 2 or not std:
+        raise ValueError(f"{column} needs at least two different values")
     start, stop = between or (low, high)
     bandwidth = std * n ** (-1 / 5)
     step = (stop - start) / (points - 1)

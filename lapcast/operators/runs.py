@@ -157,8 +157,8 @@ def loss_curves(history: DataFrame, weight: str = "rows") -> DataFrame:
     """Row-weighted mean train and validation loss per (run, epoch)."""
     w = F.col(weight)
     return history.groupBy("run_id", "epoch").agg(
-        (F.sum(F.col("train_loss") * w) / F.sum(w)).alias("train_loss"),
-        (F.sum(F.col("val_loss") * w) / F.sum(w)).alias("val_loss"),
+        (F.sum(F.col("train_loss") * w) / F.nullif(F.sum(w), F.lit(0))).alias("train_loss"),
+        (F.sum(F.col("val_loss") * w) / F.nullif(F.sum(w), F.lit(0))).alias("val_loss"),
     )
 
 
