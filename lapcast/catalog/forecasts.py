@@ -26,16 +26,16 @@ METRICS = [
 PINBALL = "greatest({q} * (y - {c}), ({q} - 1) * (y - {c}))"
 PB10, PB50, PB90 = PINBALL.format(q=0.1, c="q10"), PINBALL.format(q=0.5, c="q50"), PINBALL.format(q=0.9, c="q90")
 WINKLER = "q90 - q10 + 10 * (greatest(q10 - y, 0) + greatest(y - q90, 0))"
-REPORT = f"""count(*) AS n, round(avg(abs(q50 - y)), 6) + 0.0 AS mae, round(sqrt(avg((q50 - y) * (q50 - y))), 6) + 0.0 AS rmse,
+REPORT = f"""count(*) AS n, round(avg(abs(q50 - y)), 9) + 0.0 AS mae, round(sqrt(avg((q50 - y) * (q50 - y))), 9) + 0.0 AS rmse,
   round(avg(abs((y - q50) / nullif(y, 0))) * 100, 4) + 0.0 AS mape, count(*) FILTER (WHERE y = 0) AS mape_excluded,
-  round(avg({PB10}), 6) + 0.0 AS pinball_q10, round(avg({PB50}), 6) + 0.0 AS pinball_q50, round(avg({PB90}), 6) + 0.0 AS pinball_q90,
-  round((avg({PB10}) + avg({PB50}) + avg({PB90})) / 3, 6) + 0.0 AS pinball,
-  round(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0::DOUBLE ELSE 0 END) * 100, 6) + 0.0 AS coverage, round(avg({WINKLER}), 6) + 0.0 AS winkler,
-  round(avg({WINKLER}) / 10 + 20 * abs(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0::DOUBLE ELSE 0 END) - 0.8), 6) + 0.0 AS penalised_score"""
+  round(avg({PB10}), 9) + 0.0 AS pinball_q10, round(avg({PB50}), 9) + 0.0 AS pinball_q50, round(avg({PB90}), 9) + 0.0 AS pinball_q90,
+  round((avg({PB10}) + avg({PB50}) + avg({PB90})) / 3, 9) + 0.0 AS pinball,
+  round(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0::DOUBLE ELSE 0 END) * 100, 9) + 0.0 AS coverage, round(avg({WINKLER}), 9) + 0.0 AS winkler,
+  round(avg({WINKLER}) / 10 + 20 * abs(avg(CASE WHEN y BETWEEN q10 AND q90 THEN 1.0::DOUBLE ELSE 0 END) - 0.8), 9) + 0.0 AS penalised_score"""
 
 
 def _report(made, *by):
-    return made.select(*by, "n", "mape_excluded", *[shown(c, 4 if c == "mape" else 6).alias(c) for c in METRICS])
+    return made.select(*by, "n", "mape_excluded", *[shown(c, 4 if c == "mape" else 9).alias(c) for c in METRICS])
 
 
 def bands(spark, sf_dir):
@@ -201,12 +201,12 @@ def ranked_totals(spark, sf_dir):
 
 @query(
     "e1_pinball_by_user",
-    f"""WITH {BANDS} SELECT user_id, horizon, round(avg({PB10}), 6) + 0.0 AS pinball_q10, round(avg({PB50}), 6) + 0.0 AS pinball_q50,
-    round(avg({PB90}), 6) + 0.0 AS pinball_q90, round((avg({PB10}) + avg({PB50}) + avg({PB90})) / 3, 6) + 0.0 AS pinball FROM bands GROUP BY user_id, horizon""",
+    f"""WITH {BANDS} SELECT user_id, horizon, round(avg({PB10}), 9) + 0.0 AS pinball_q10, round(avg({PB50}), 9) + 0.0 AS pinball_q50,
+    round(avg({PB90}), 9) + 0.0 AS pinball_q90, round((avg({PB10}) + avg({PB50}) + avg({PB90})) / 3, 9) + 0.0 AS pinball FROM bands GROUP BY user_id, horizon""",
 )
 def pinball_by_user(spark, sf_dir):
     made = ev.pinball(bands(spark, sf_dir), ["user_id", "horizon"])
-    return made.select("user_id", "horizon", *[shown(c).alias(c) for c in ("pinball_q10", "pinball_q50", "pinball_q90", "pinball")])
+    return made.select("user_id", "horizon", *[shown(c, 9).alias(c) for c in ("pinball_q10", "pinball_q50", "pinball_q90", "pinball")])
 
 
 @query("e2_e6_report_overall", f"WITH {BANDS} SELECT {REPORT} FROM bands")
@@ -221,9 +221,9 @@ def report_by_user(spark, sf_dir):
 
 @query(
     "e4_e5_scores_by_version",
-    f"""WITH {BANDS}, both AS (SELECT 'banded' AS version, y, q10, q50, q90 FROM bands UNION ALL
+    f"""WITH {BANDS}, two AS (SELECT 'banded' AS version, y, q10, q50, q90 FROM bands UNION ALL
       SELECT 'narrow', y, q50 - (q50 - q10) / 2, q50, q50 + (q90 - q50) / 2 FROM bands)
-    SELECT version, {REPORT} FROM both GROUP BY version""",
+    SELECT version, {REPORT} FROM two GROUP BY version""",
 )
 def scores_by_version(spark, sf_dir):
     wide = bands(spark, sf_dir).select(F.lit("banded").alias("version"), "y", *fc.NAMES)

@@ -15,7 +15,7 @@ from lapcast.operators.profile import append, distinct_counts, earliest, latest
 from lapcast.operators.windows import latest_window
 from lapcast.plans.cleaning import Thresholds, clean_performances
 from lapcast.plans.skew import salted_join
-from lapcast.session import fresh_path
+from lapcast.session import fresh_path, written
 from lapcast.sources import readers, writers
 
 # ---- sources and sinks --------------------------------------------------------------------------
@@ -137,7 +137,8 @@ cleaned AS (
 
 
 def cleaned(spark, sf_dir):
-    made = clean_performances(performances(spark, sf_dir), _LIMITS)
+    # The raw table is a stored file in practice; here it is derived from the events first.
+    made = clean_performances(written(performances(spark, sf_dir), "raw"), _LIMITS)
     return made, made.table.select(
         *[c for c in made.table.columns if dict(made.table.dtypes)[c] != "double"],
         *[shown(c, 4 if c == "perf_temps_sec" else 6).alias(c) for c, t in made.table.dtypes if t == "double"],

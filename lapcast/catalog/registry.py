@@ -50,7 +50,7 @@ ITEMS = Roles(
 
 def performances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a raw performance row; some clock values are missing."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int")
     v, u = F.col("value"), F.col("user_id")
     minutes = F.floor(v / 60)
     clock = (minutes + (v - minutes * 60) / 100).cast("float")

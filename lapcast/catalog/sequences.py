@@ -184,8 +184,9 @@ model AS (SELECT horizon, quantile_cont(y - last, 0.1) AS d10, quantile_cont(y -
 
 
 def empirical_model(spark, sf_dir):
-    made = win.windows(table(spark, sf_dir, "events"), EVENTS, ["value"], length=20, horizon=3)
-    return fit_empirical_quantiles(made, "value")
+    events = table(spark, sf_dir, "events")
+    made = win.windows(events, EVENTS, ["value"], length=20, horizon=3)
+    return fit_empirical_quantiles(made, "value", at_most=events.count())
 
 
 def next_bands(spark, sf_dir):

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from lapcast.functions.columns import missing_if_nan
 from lapcast.plans.skew import hot_keys, null_safe_join, split_hot
-from lapcast.session import materialise
+from lapcast.session import block_rows, materialise
 
 _BINS = 1024
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str] | str, probs: Sequence[float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], columns: Sequence[str] | str, probs: Sequence[float], at_most: int | None = None
+) -> DataFrame:
     """One row per group; for each column an array of its quantiles. Nulls and NaN are ignored.
 
+    ``at_most`` is a proven bound on the rows of any group; if it is small the groups are not counted.
+
     An ordinary group uses the built-in ``percentile``. That aggregate gathers all distinct
     values of a group in one buffer, so over-full groups go to a bracket search instead.
     """
@@ -24,7 +28,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str] | s
     columns = [columns] if isinstance(columns, str) else list(columns)
     clean = df.select(*by, *[missing_if_nan(c).alias(c) for c in columns])
     asked = F.array(*[F.lit(float(p)) for p in probs])
-    hot = hot_keys(clean, by)
+    proven = at_most is not None and at_most <= block_rows(df.sparkSession)
+    hot = None if proven else hot_keys(clean, by)
     light, heavy = (clean, None) if hot is None else split_hot(clean, hot, by)
     out = light.groupBy(*by).agg(*[F.percentile(c, asked).alias(c) for c in columns])
     if heavy is None:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapcast.plans.ordered import ranked
 from lapcast.plans.skew import lookup_join
@@ -20,12 +20,16 @@ def fit_dictionary(df: DataFrame, column: str) -> DataFrame:
 
 
 def fit_dictionaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, code) for several columns; values as text, codes in each column's own order."""
-    parts = [
-        fit_dictionary(df, c).select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "code")
-        for c in columns
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """(column, value, code) for several columns in one pass; values as text, codes in each column's own order."""
+    items = []
+    for c in columns:
+        kind = df.schema[c].dataType
+        whole = F.col(c).cast("decimal(38,0)") if isinstance(kind, T.IntegralType) else F.lit(None).cast("decimal(38,0)")
+        real = F.col(c).cast("double") if isinstance(kind, T.FractionalType) else F.lit(None).cast("double")
+        items.append(F.struct(F.lit(c).alias("column"), whole.alias("_whole"), real.alias("_real"), F.col(c).cast("string").alias("value")))
+    values = df.select(F.inline(F.array(*items))).where("value IS NOT NULL").distinct()
+    coded = ranked(values, ["column"], ["_whole", "_real", "value"], "_r")
+    return coded.select("column", "value", (F.col("_r") - 1).cast("int").alias("code"))
 
 
 def dictionary_of(dictionaries: DataFrame, column: str, kind: str = "string") -> DataFrame:

@@ -39,13 +39,15 @@ def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFram
 
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Each row with its group's row count."""
-    return salted_join(df, group_sizes(df, keys, name), list(keys))
+    sizes = group_sizes(df, keys, "_n").persist()
+    return salted_join(df, sizes.withColumnRenamed("_n", name), list(keys), sizes=sizes)
 
 
 def min_group_size(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """Rows of groups with at least ``n`` rows."""
-    kept = group_sizes(df, keys).where(F.col("n") >= n).select(*keys)
-    return salted_join(df, kept, list(keys), "left_semi")
+    """Rows of groups with at least ``n`` rows; the groups are counted once."""
+    sizes = group_sizes(df, keys, "_n").persist()
+    kept = sizes.where(F.col("_n") >= n).select(*keys)
+    return salted_join(df, kept, list(keys), "left_semi", sizes)
 
 
 def min_category_count(df: DataFrame, column: str, n: int) -> DataFrame:

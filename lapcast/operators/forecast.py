@@ -31,17 +31,38 @@ def by_horizon(windows: DataFrame, keep: Sequence[str], anchor: Column, horizon:
     return windows.select(*keep, anchor.cast("double").alias("last"), ahead)
 
 
-def fit_empirical_quantiles(
-    windows: DataFrame, value: str, by: Sequence[str] = (), quantiles: Sequence[float] = tuple(QUANTILES)
+def change_quantiles(
+    steps: DataFrame, by: Sequence[str] = (), quantiles: Sequence[float] = tuple(QUANTILES), at_most: int | None = None
 ) -> DataFrame:
-    """(by, horizon, change quantiles): how much the value moves h steps ahead."""
-    anchor = F.element_at("past", -1)[value]
-    steps = by_horizon(windows, list(by), anchor).withColumn("change", F.col("y") - F.col("last"))
-    return exact_quantiles(steps, [*by, "horizon"], "change", quantiles).select(
+    """(by, horizon, change quantiles) of the rows of :func:`by_horizon`."""
+    changes = steps.select(*by, "horizon", (F.col("y") - F.col("last")).alias("change"))
+    return exact_quantiles(changes, [*by, "horizon"], "change", quantiles, at_most).select(
         *by, "horizon", *[F.col("change")[i].alias(f"d_{n}") for i, n in enumerate(NAMES[: len(quantiles)])]
     )
 
 
+def add_changes(steps: DataFrame, model: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Last value plus the change quantiles of the row's group."""
+    scored = lookup_join(steps, model, [*by, "horizon"])
+    names = [n for n in NAMES if f"d_{n}" in model.columns]
+    return scored.select(*[c for c in steps.columns if c != "last"], *[(F.col("last") + F.col(f"d_{n}")).alias(n) for n in names])
+
+
+def fit_empirical_quantiles(
+    windows: DataFrame,
+    value: str,
+    by: Sequence[str] = (),
+    quantiles: Sequence[float] = tuple(QUANTILES),
+    at_most: int | None = None,
+) -> DataFrame:
+    """(by, horizon, change quantiles): how much the value moves h steps ahead.
+
+    ``at_most`` is a proven bound on the number of windows, if one is known.
+    """
+    steps = by_horizon(windows, list(by), F.element_at("past", -1)[value])
+    return change_quantiles(steps, by, quantiles, at_most)
+
+
 def predict_empirical(
     windows: DataFrame, model: DataFrame, value: str, keep: Sequence[str], by: Sequence[str] = (), horizon: int = 3
 ) -> DataFrame:
@@ -51,9 +72,7 @@ def predict_empirical(
     """
     kept = list(dict.fromkeys([*keep, *by]))
     steps = by_horizon(windows, kept, F.element_at("past", -1)[value], horizon)
-    scored = lookup_join(steps, model, [*by, "horizon"])
-    known = ["y"] if "y" in steps.columns else []
-    return scored.select(*keep, "horizon", *known, *[(F.col("last") + F.col(f"d_{n}")).alias(n) for n in NAMES])
+    return add_changes(steps, model, by).drop(*[c for c in by if c not in keep])
 
 
 def finish_quantiles(df: DataFrame, state: DataFrame | None = None, column: str | None = None, digits: int | None = None) -> DataFrame:
@@ -256,9 +275,12 @@ def _calibrate(table: DataFrame, model: QuantileModel) -> QuantileModel:
 
 
 def _line(coefficients: np.ndarray, x: Column) -> Column:
-    """Intercept plus dot product, evaluated in the JVM."""
-    slopes = F.lit([float(c) for c in coefficients[1:]])
-    return F.aggregate(F.zip_with(x, slopes, lambda a, b: a * b), F.lit(float(coefficients[0])), lambda a, b: a + b)
+    """Intercept plus dot product as plain arithmetic, so that it compiles with the stage around it."""
+    terms = [F.lit(float(coefficients[0]))]
+    terms += [F.get(x, F.lit(k)) * F.lit(float(c)) for k, c in enumerate(coefficients[1:]) if c]
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
+    return terms[0]
 
 
 def predict(table: DataFrame, model: QuantileModel, keep: Sequence[str]) -> DataFrame:

@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 from lapcast.functions.columns import cyclic
 from lapcast.operators.encode import encode, scale
 from lapcast.operators.evaluate import evaluate
-from lapcast.operators.forecast import finish_quantiles, fit_empirical_quantiles, predict_empirical
+from lapcast.operators.forecast import add_changes, by_horizon, change_quantiles, finish_quantiles
 from lapcast.operators.windows import padded, windows
 from lapcast.roles import Roles
+from lapcast.session import written
 
 
 def empirical_bands(df: DataFrame, roles: Roles, length: int = 20, horizon: int = 3, by: Sequence[str] = ()) -> DataFrame:
-    """Windows, change quantiles fitted on all of them, forecasts without crossing."""
+    """Windows, change quantiles fitted on all of them, forecasts without crossing.
+
+    Fitting and scoring both need only each window's last value and targets. That narrow table
+    is written once, so the series are shuffled and framed a single time.
+    """
     made = windows(df, roles, [roles.value], length=length, horizon=horizon, carry=list(by))
-    model = fit_empirical_quantiles(made, roles.value, by)
     keep = list(dict.fromkeys([*roles.keys, "origin_ts", *by]))
-    return finish_quantiles(predict_empirical(made, model, roles.value, keep, by))
+    steps = written(by_horizon(made, keep, F.element_at("past", -1)[roles.value]), "steps")
+    # A row of the written table is one (window, horizon): its count bounds every group.
+    model = change_quantiles(steps, by, at_most=steps.count())
+    return finish_quantiles(add_changes(steps, model, by))
 
 
 def band_report(df: DataFrame, roles: Roles, length: int = 20, horizon: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapcast.functions.columns import clock_to_seconds, cyclic, series_key
-from lapcast.operators.encode import encode, fit_dictionary, fit_scaler, scale
+from lapcast.operators.encode import dictionary_of, encode, fit_dictionaries, fit_scaler, scale
 from lapcast.operators.filters import drop_incomplete, min_category_count, min_group_size, with_rules
 from lapcast.operators.windows import with_gap
 from lapcast.schema import SWIM_ROLES
@@ -42,19 +42,23 @@ class Cleaned:
 
 
 def filter_performances(raw: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
-    """Complete, plausible rows of frequent athletes and frequent strokes."""
+    """Complete, plausible rows of frequent athletes and frequent strokes.
+
+    The rows of frequent athletes are written once: counting strokes, fitting and encoding
+    then scan only the columns they need.
+    """
     rows = drop_incomplete(raw.drop("_bad_row"))
     rows = with_rules(rows, {"positive age": F.col("nageur_age_mois") > 0, "old enough": F.col("nageur_age_mois") > limits.min_age_months})
-    rows = min_group_size(rows.drop(*UNUSED), ["nageur_id"], limits.min_entity_rows)
-    return min_category_count(rows, "perf_nage", limits.min_category_rows)
+    frequent = min_group_size(rows.drop(*UNUSED), ["nageur_id"], limits.min_entity_rows)
+    return min_category_count(written(frequent, "frequent"), "perf_nage", limits.min_category_rows)
 
 
 def clean_performances(raw: DataFrame, limits: Thresholds = Thresholds(), fit_on: DataFrame | None = None) -> Cleaned:
     """The whole preparation. Dictionaries and the age scaler are fitted on ``fit_on`` (default: all kept rows)."""
-    # Fitting reads single columns of the kept rows several times: filter once, write, prune.
-    rows = written(filter_performances(raw, limits), "filtered")
+    rows = filter_performances(raw, limits)
     basis = rows if fit_on is None else fit_on
-    dictionaries = {c: fit_dictionary(basis, c).persist() for c in ENCODED}
+    joint = fit_dictionaries(basis, list(ENCODED)).persist()
+    dictionaries = {c: dictionary_of(joint, c, basis.schema[c].dataType.simpleString()) for c in ENCODED}
     scaler = fit_scaler(basis, "nageur_age_mois").persist()
     for column, code in ENCODED.items():
         rows = encode(rows, column, dictionaries[column], code)

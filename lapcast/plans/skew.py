@@ -16,9 +16,12 @@ def hot_keys(df: DataFrame, keys: list[str], *extra: Column, limit: int | None =
     The count combines on the map side, so the hot key itself is never gathered.
     At most (rows / limit) keys can qualify, which bounds what callers broadcast.
     """
-    limit = limit or block_rows(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra)
-    hot = counts.where(F.col("_n") > limit).persist()
+    return hot_of(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *extra), limit)
+
+
+def hot_of(counts: DataFrame, limit: int | None = None) -> DataFrame | None:
+    """The hot keys of a table that already holds one count ``_n`` per key."""
+    hot = counts.where(F.col("_n") > (limit or block_rows(counts.sparkSession))).persist()
     if hot.count() == 0:
         hot.unpersist()
         return None
@@ -42,14 +45,16 @@ def split_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> tuple[DataFrame
     return null_safe_join(df, listed, keys, "left_anti"), null_safe_join(df, listed, keys, "left_semi")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join whose big side may have hot keys.
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", sizes: DataFrame | None = None
+) -> DataFrame:
+    """Equi-join whose big side may have hot keys; ``sizes`` are its counts ``_n`` per key, if at hand.
 
     A hot key's rows are spread over ceil(n / limit) salts by the map task they come
     from (stable when a task is run again) and the small side is repeated per salt.
     """
     limit = block_rows(big.sparkSession)
-    hot = hot_keys(big, keys)
+    hot = hot_keys(big, keys) if sizes is None else hot_of(sizes)
     if hot is None:
         return big.join(small, keys, how)
     salts = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
