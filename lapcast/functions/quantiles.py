@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lapcast.functions.columns import missing_if_nan
 from lapcast.plans.skew import hot_keys, null_safe_join, split_hot
-from lapcast.session import block_rows, materialise
+from lapcast.session import block_rows, materialise, written
 
 _BINS = 1024
 
@@ -52,7 +52,7 @@ def _bracket_search(values: DataFrame, by: list[str], probs: Sequence[float], na
     the chosen bin; those two always fall in different bins, so a bracket strictly shrinks.
     """
     # A struct key also matches groups whose key is null.
-    values = materialise(values.select(F.struct(*by, F.lit(0).alias("_all")).alias("_g"), "_v"))
+    values = written(values.select(F.struct(*by, F.lit(0).alias("_all")).alias("_g"), "_v"), "values")
     keys = ["_g"]
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     todo = (

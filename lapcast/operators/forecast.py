@@ -20,6 +20,7 @@ from lapcast.plans.skew import hot_keys, lookup_join
 from lapcast.schema import QUANTILES
 
 NAMES = ["q10", "q50", "q90"]
+_FIT_TASKS = 8192
 
 
 def by_horizon(windows: DataFrame, keep: Sequence[str], anchor: Column, horizon: int | None = None) -> DataFrame:
@@ -131,6 +132,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return values.reshape(-1, width)
 
 
+def _few_tasks(table: DataFrame) -> DataFrame:
+    """Every task sends one set of sums, so their number is bounded for very large tables."""
+    slim = table.select("x", "target")
+    return slim.coalesce(_FIT_TASKS)
+
+
 def _moments(table: DataFrame, p: int, horizon: int) -> tuple[int, np.ndarray, np.ndarray, float, float]:
     """Count, feature mean and std, target centre and spread; partial sums per task, summed by Spark."""
 
@@ -148,7 +155,7 @@ def _moments(table: DataFrame, p: int, horizon: int) -> tuple[int, np.ndarray, n
         )
 
     sums = (
-        table.select("x", "target")
+        _few_tasks(table)
         .mapInArrow(partial, "i int, n double, s double, ss double")
         .groupBy("i")
         .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
@@ -193,7 +200,7 @@ def _gram(table: DataFrame, model: QuantileModel, epsilon: float) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), lists], names=["i", "g"])
 
     summed = (
-        table.select("x", "target")
+        _few_tasks(table)
         .mapInArrow(partial, "i int, g array<double>")
         .groupBy("i")
         .agg(F.array(*[F.sum(F.get("g", F.lit(c))) for c in range(width)]).alias("g"))
@@ -377,22 +384,29 @@ def permutation_importance(
     mixed = laid.home(laid.df.withColumn("_other", F.lag("x").over(laid.window())))
     # The first window of a bucket keeps its own values.
     mixed = mixed.withColumn("_other", F.coalesce("_other", "x"))
-    raw = model.raw_coefficients()
+    p, h, names = len(model.features), model.horizon, list(groups)
+    raw, levels = model.raw_coefficients(), np.array(model.quantiles)
 
-    def loss(x: Column) -> Column:
-        terms = [
-            pinball_of(F.get("target", F.lit(i)), _line(raw[i, j], x), level)
-            for i in range(model.horizon)
-            for j, level in enumerate(model.quantiles)
-        ]
-        return sum(terms[1:], terms[0]) / len(terms)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names) + 1, 2))
+        for b in batches:
+            x, other, y = _matrix(b.column(0), p), _matrix(b.column(1), p), _matrix(b.column(2), h)
+
+            def add(i: int, features: np.ndarray) -> None:
+                e = y[:, :, None] - (features @ raw[:, :, 1:].reshape(-1, p).T).reshape(len(y), h, -1) - raw[:, :, 0]
+                total[i] += [np.maximum(levels * e, (levels - 1) * e).sum(), e.size]
 
-    columns = {"_base": loss(F.col("x"))}
-    for name, places in groups.items():
-        listed = F.lit([int(k) for k in places])
-        swapped = F.transform("x", lambda v, k: F.when(F.array_contains(listed, k), F.get("_other", k)).otherwise(v))
-        columns[name] = loss(swapped)
-    scored = mixed.select(*[F.avg(c).alias(n) for n, c in columns.items()])
-    rows = F.array(*[F.struct(F.lit(g).alias("feature"), (F.col(g) - F.col("_base")).alias("increase")) for g in groups])
-    return scored.select(F.inline(rows))
+            add(0, x)
+            for i, name in enumerate(names):
+                swapped = x.copy()
+                swapped[:, groups[name]] = other[:, groups[name]]
+                add(i + 1, swapped)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["", *names]), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["feature", "s", "n"]
+        )
 
+    sums = mixed.select("x", "_other", "target").mapInArrow(partial, "feature string, s double, n double")
+    losses = sums.groupBy("feature").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("loss"))
+    base = F.broadcast(losses.where("feature = ''").select(F.lit(1).alias("_one"), F.col("loss").alias("_base")))
+    changed = losses.where("feature <> ''").withColumn("_one", F.lit(1))
+    return changed.join(base, "_one").select("feature", (F.col("loss") - F.col("_base")).alias("increase"))

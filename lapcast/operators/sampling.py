@@ -12,6 +12,7 @@ from lapcast.operators.filters import keep_members
 from lapcast.plans.ordered import ranked
 from lapcast.plans.skew import lookup_join, salted_join
 from lapcast.roles import Roles
+from lapcast.session import broadcast_rows
 
 
 def _by_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -24,7 +25,11 @@ def sample_entities(df: DataFrame, key: str, seed: int = 42, n: int | None = Non
         raise ValueError("give either n or fraction")
     if fraction is not None:
         return df.where(unit_hash(seed, key) < fraction)
-    chosen = _by_hash(df, key, seed).orderBy("_u", key).limit(n)
+    entities = _by_hash(df, key, seed)
+    if n <= broadcast_rows(df.sparkSession):
+        chosen = entities.orderBy("_u", key).limit(n)
+    else:
+        chosen = ranked(entities, [], ["_u", key], "_r").where(F.col("_r") <= n)
     return keep_members(df, chosen, [key])
 
 

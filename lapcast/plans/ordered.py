@@ -14,18 +14,18 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lapcast.plans.skew import hot_keys, null_safe_join, split_hot
-from lapcast.session import block_rows, materialise
+from lapcast.session import block_rows, written
 
 _FOLDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def _range_parts(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Globally sorted parts; ``_part`` grows with (keys, order), ``_row`` within a part."""
-    return materialise(
-        df.repartitionByRange(*keys, *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id())
+    sorted_parts = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # Range bounds are sampled anew on every evaluation, so the numbering is stored, not recomputed.
+    return written(
+        sorted_parts.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()),
+        "parts",
     )
 
 

@@ -75,6 +75,8 @@ def salted_join(
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a table that is usually tiny: broadcast after counting it, salted shuffle otherwise."""
     limit = broadcast_rows(big.sparkSession)
+    small = small.persist()
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)
+    small.unpersist()
     return salted_join(big, small, keys, how)

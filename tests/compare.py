@@ -1,6 +1,6 @@
 """Run registered queries and their SQL twins on the same tables and compare all rows.
 
-    python tests/compare.py [sf_dir] [name prefix ...]
+    [blockRows=60 broadcastRows=20] python tests/compare.py [sf_dir] [name prefix ...]
 """
 
 from __future__ import annotations
@@ -70,6 +70,10 @@ def main(argv: list[str]) -> int:
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     spark = build_session(8, 8)
     spark.sparkContext.setLogLevel("ERROR")
+    # Small limits send even small tables down the paths for over-full keys and large lookups.
+    for name in ("blockRows", "broadcastRows"):
+        if name in os.environ:
+            spark.conf.set(f"lapcast.{name}", os.environ[name])
     con = connect(sf)
     bad = 0
     twins = entry.oracle_sql()
