@@ -27,7 +27,7 @@ def fit_dictionaries(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         whole = F.col(c).cast("decimal(38,0)") if isinstance(kind, T.IntegralType) else F.lit(None).cast("decimal(38,0)")
         real = F.col(c).cast("double") if isinstance(kind, T.FractionalType) else F.lit(None).cast("double")
         items.append(F.struct(F.lit(c).alias("column"), whole.alias("_whole"), real.alias("_real"), F.col(c).cast("string").alias("value")))
-    values = df.select(F.inline(F.array(*items))).where("value IS NOT NULL").distinct()
+    values = df.select(F.inline(F.array(*items))).where("value IS NOT NULL").distinct().persist()
     coded = ranked(values, ["column"], ["_whole", "_real", "value"], "_r")
     return coded.select("column", "value", (F.col("_r") - 1).cast("int").alias("code"))
 
@@ -37,10 +37,15 @@ def dictionary_of(dictionaries: DataFrame, column: str, kind: str = "string") ->
     return dictionaries.where(F.col("column") == column).select(F.col("value").cast(kind).alias("value"), "code")
 
 
-def encode(df: DataFrame, column: str, dictionary: DataFrame, into: str, unseen: str = "error") -> DataFrame:
-    """Add the code of each value; ``unseen`` values raise, stay null, or share the next free code."""
+def encode(
+    df: DataFrame, column: str, dictionary: DataFrame, into: str, unseen: str = "error", at_most: int | None = None
+) -> DataFrame:
+    """Add the code of each value; ``unseen`` values raise, stay null, or share the next free code.
+
+    ``at_most`` is a proven bound on the dictionary's length, if one is known.
+    """
     named = dictionary.select(F.col("value").alias(column), F.col("code").alias(into))
-    out = lookup_join(df, named, [column], "left")
+    out = lookup_join(df, named, [column], "left", at_most)
     if unseen == "error":
         failed = F.raise_error(F.concat(F.lit(f"unseen value in {column}: "), F.col(column).cast("string"))).cast("int")
         return out.withColumn(into, F.when(F.col(into).isNull(), failed).otherwise(F.col(into)))

@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from lapcast.functions.quantiles import exact_quantiles
 from lapcast.operators.encode import unscale
-from lapcast.operators.evaluate import pinball_of
 from lapcast.plans.ordered import blocks
 from lapcast.plans.skew import hot_keys, lookup_join
 from lapcast.schema import QUANTILES
+from lapcast.session import written
 
 NAMES = ["q10", "q50", "q90"]
 _FIT_TASKS = 8192
@@ -252,58 +252,68 @@ def fit_quantile_forecaster(
 def _calibrate(table: DataFrame, model: QuantileModel) -> QuantileModel:
     """Shift intercepts to exact training coverage and fall back to plain quantiles where better."""
     h, q = model.horizon, len(model.quantiles)
-    y = table.select(F.posexplode("target").alias("_h", "y"))
-    plain = {r["_h"]: r["y"] for r in exact_quantiles(y, ["_h"], "y", model.quantiles).collect()}
-    raw = model.raw_coefficients()
-    lines = F.array(
-        *[_line(raw[i, j], F.col("x")) for i in range(h) for j in range(q)]
-    )
-    residual = table.withColumn("_l", lines).select(F.posexplode("_l").alias("_f", "_v"), "target").select(
-        "_f", (F.get("target", F.floor(F.col("_f") / q).cast("int")) - F.col("_v")).alias("e")
+    n = table.count()
+    lines = written(_with_lines(table, model, ["target"]), "lines")
+    truth = F.get("target", F.floor(F.col("_f") / q).cast("int"))
+    rows = lines.select(F.posexplode("_lines").alias("_f", "_v"), "target").select("_f", "_v", truth.alias("y"))
+    plain = _by_fit(exact_quantiles(rows.select("_f", "y"), ["_f"], "y", model.quantiles, n), "y", q)
+    errors = rows.select("_f", (F.col("y") - F.col("_v")).alias("e"))
+    shift = _by_fit(exact_quantiles(errors, ["_f"], "e", model.quantiles, n), "e", q)
+    level = F.get(F.lit(model.quantiles), F.col("_f") % q)
+    moved, constant = F.col("_v") + F.get(F.lit(shift), F.col("_f")), F.get(F.lit(plain), F.col("_f"))
+    losses = rows.groupBy("_f").agg(
+        F.avg(_pinball(F.col("y"), moved, level)).alias("moved"), F.avg(_pinball(F.col("y"), constant, level)).alias("constant")
     )
-    shift = {r["_f"]: r["e"] for r in exact_quantiles(residual, ["_f"], "e", model.quantiles).collect()}
-    losses = []
-    for i in range(h):
-        for j, level in enumerate(model.quantiles):
-            truth = F.get("target", F.lit(i))
-            moved = _line(raw[i, j], F.col("x")) + float(shift[i * q + j][j])
-            losses.append(F.avg(pinball_of(truth, moved, level)).alias(f"m{i}_{j}"))
-            losses.append(F.avg(pinball_of(truth, F.lit(float(plain[i][j])), level)).alias(f"c{i}_{j}"))
-    loss = table.agg(*losses).first()
-    for i in range(h):
-        for j in range(q):
-            if loss[f"m{i}_{j}"] <= loss[f"c{i}_{j}"]:
-                model.coef[i, j, 0] += float(shift[i * q + j][j]) / model.spread
-            else:
-                model.coef[i, j] = 0.0
-                model.coef[i, j, 0] = (float(plain[i][j]) - model.centre) / model.spread
-                model.constant[i, j] = 1.0
+    for r in losses.collect():
+        i, j = divmod(r["_f"], q)
+        if r["moved"] <= r["constant"]:
+            model.coef[i, j, 0] += shift[r["_f"]] / model.spread
+        else:
+            model.coef[i, j] = 0.0
+            model.coef[i, j, 0] = (plain[r["_f"]] - model.centre) / model.spread
+            model.constant[i, j] = 1.0
     return model
 
 
-def _line(coefficients: np.ndarray, x: Column) -> Column:
-    """Intercept plus dot product as plain arithmetic, so that it compiles with the stage around it."""
-    terms = [F.lit(float(coefficients[0]))]
-    terms += [F.get(x, F.lit(k)) * F.lit(float(c)) for k, c in enumerate(coefficients[1:]) if c]
-    while len(terms) > 1:
-        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) & ~1 :]
-    return terms[0]
+def _pinball(y: Column, forecast: Column, level: Column) -> Column:
+    e = y - forecast
+    return F.greatest(level * e, (level - 1) * e)
+
+
+def _by_fit(found: DataFrame, column: str, q: int) -> list[float]:
+    """The quantile each (horizon, quantile) fit is about, in fit order (horizon * quantiles rows)."""
+    return [float(r[column][r["_f"] % q]) for r in sorted(found.collect(), key=lambda r: r["_f"])]
+
+
+def _with_lines(table: DataFrame, model: QuantileModel, keep: Sequence[str]) -> DataFrame:
+    """``keep`` plus ``_lines``: all (horizon, quantile) forecasts of a row, one matrix product per Arrow batch."""
+    p, raw = len(model.features), model.raw_coefficients().reshape(-1, len(model.features) + 1)
+    schema = T.StructType([*[table.schema[c] for c in keep], T.StructField("_lines", T.ArrayType(T.DoubleType()))])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = _matrix(b.column(0), p) @ raw[:, 1:].T + raw[:, 0]
+            lines = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), len(raw)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], lines], names=[*keep, "_lines"])
+
+    return table.select("x", *keep).mapInArrow(score, schema)
 
 
 def predict(table: DataFrame, model: QuantileModel, keep: Sequence[str]) -> DataFrame:
     """q10/q50/q90 per (window, horizon); ``y`` too where the windows have a target."""
-    raw = model.raw_coefficients()
+    known = ["target"] if "target" in table.columns else []
+    q = len(model.quantiles)
     rows = F.array(
         *[
             F.struct(
                 F.lit(i + 1).alias("horizon"),
-                *([F.get("target", F.lit(i)).alias("y")] if "target" in table.columns else []),
-                *[_line(raw[i, j], F.col("x")).alias(n) for j, n in enumerate(NAMES[: len(model.quantiles)])],
+                *[F.get("target", F.lit(i)).alias("y") for _ in known],
+                *[F.get("_lines", F.lit(i * q + j)).alias(n) for j, n in enumerate(NAMES[:q])],
             )
             for i in range(model.horizon)
         ]
     )
-    return table.select(*keep, F.inline(rows))
+    return _with_lines(table, model, list(dict.fromkeys([*keep, *known]))).select(*keep, F.inline(rows))
 
 
 def predict_with(windows: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], np.ndarray]], keep: Sequence[str], horizon: int = 3) -> DataFrame:

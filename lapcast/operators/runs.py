@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lapcast.functions.columns import unit_hash
 from lapcast.operators.evaluate import evaluate
 from lapcast.plans.ordered import arrange, ranked
-from lapcast.plans.skew import salted_join
+from lapcast.plans.skew import hot_keys, salted_join
+from lapcast.session import written
 
 
 def draw(kind: tuple, u: Column) -> Column:
@@ -105,14 +106,14 @@ def median_stop(
     """
     runs = ranked(curves.select(run).distinct(), [], [run], "_nth").withColumn("_nth", F.col("_nth") - 1)
     numbered = salted_join(curves.select(run, "epoch", F.col(loss).cast("double").alias("_loss")), runs, [run])
-    own = arrange(numbered, [run], ["epoch"]).running("best_so_far", "min", F.col("_loss")).finish()
+    own = written(arrange(numbered, [run], ["epoch"]).running("best_so_far", "min", F.col("_loss")).finish(), "runs")
     levels = max(1, math.ceil(math.log2(max(2, runs.count()))) + 1)
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
-    # Every loss belongs to one block per level.
+    # Every loss belongs to one block per level; only blocks of even number are ever looked at.
     values = own.select("epoch", level.alias("_level"), "_nth", F.col("_loss").alias("_v")).select(
         "epoch", "_level", F.expr("shiftright(_nth, _level)").alias("_block"), "_v",
         F.lit(None).cast("long").alias("_run"),
-    )
+    ).where("_block % 2 = 0")
     # A run looks at the blocks that make up all runs before it: one per set bit of its number.
     queries = (
         own.where((F.col("_nth") >= startup) & (F.col("epoch") > warmup))
@@ -130,11 +131,12 @@ def _prefix_medians(own: DataFrame, values: DataFrame, queries: DataFrame, run:
     both = values.unionByName(queries).withColumns(
         {"_run": F.coalesce("_run", F.lit(-1)), "_value": is_value, "_first": (~is_value).cast("int") * -1, "_neg": -F.col("_v")}
     )
+    hot = hot_keys(both, keys)
     seen = F.when(F.col("_value"), F.col("_v"))
     # Upwards a query precedes equal losses, downwards it follows them: below is strict.
-    up = arrange(both, keys, ["_v", "_first", "_run"])
+    up = arrange(both, keys, ["_v", "_first", "_run"], True, hot)
     up = up.running("below", "sum", F.col("_value").cast("long")).running("lower", "max", seen).finish()
-    down = arrange(both, keys, ["_neg", "_run"])
+    down = arrange(both, keys, ["_neg", "_run"], True, hot)
     down = down.running("above", "sum", F.col("_value").cast("long")).running("upper", "min", seen).finish()
     none = F.lit(None)
     counted = (

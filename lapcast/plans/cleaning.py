@@ -58,10 +58,11 @@ def clean_performances(raw: DataFrame, limits: Thresholds = Thresholds(), fit_on
     rows = filter_performances(raw, limits)
     basis = rows if fit_on is None else fit_on
     joint = fit_dictionaries(basis, list(ENCODED)).persist()
+    entries = joint.count()
     dictionaries = {c: dictionary_of(joint, c, basis.schema[c].dataType.simpleString()) for c in ENCODED}
     scaler = fit_scaler(basis, "nageur_age_mois").persist()
     for column, code in ENCODED.items():
-        rows = encode(rows, column, dictionaries[column], code)
+        rows = encode(rows, column, dictionaries[column], code, at_most=entries)
     rows = scale(rows, scaler, "nageur_age_mois", "nageur_age_mois_scaled")
     sine, cosine = cyclic("mois_saison")
     rows = rows.select(

@@ -64,8 +64,9 @@ class Arranged:
         return self.df.drop("_part", "_row") if self.parted else self.df
 
 
-def arrange(df: DataFrame, keys: list[str], order: list[str]) -> Arranged:
-    hot = hot_keys(df, keys)
+def arrange(df: DataFrame, keys: list[str], order: list[str], counted: bool = False, hot: DataFrame | None = None) -> Arranged:
+    """Lay a table out for running values; ``counted`` says that ``hot`` is the result of :func:`hot_keys`."""
+    hot = hot if counted else hot_keys(df, keys)
     if hot is None:
         return Arranged(df, keys, order, False)
     light, heavy = split_hot(df, hot, keys)

@@ -72,9 +72,16 @@ def salted_join(
     return spread.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
-def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a table that is usually tiny: broadcast after counting it, salted shuffle otherwise."""
+def lookup_join(
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", at_most: int | None = None
+) -> DataFrame:
+    """Join a table that is usually tiny: broadcast after counting it, salted shuffle otherwise.
+
+    ``at_most`` is a proven bound on the small table's rows; within the limit it saves the count.
+    """
     limit = broadcast_rows(big.sparkSession)
+    if at_most is not None and at_most <= limit:
+        return big.join(F.broadcast(small), keys, how)
     small = small.persist()
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)
