@@ -179,6 +179,38 @@ def position_importance(spark, sf_dir):
     return made.select("position", shown("share").alias("share"))
 
 
+COEFFICIENTS = """coef AS (SELECT event_type, event_id % 10 + 1 AS position, avg(value) * CASE WHEN event_type < 'm' THEN -1 ELSE 1 END AS c, stddev_pop(value) AS s
+  FROM events GROUP BY event_type, event_id % 10)"""
+
+
+def event_coefficients(spark, sf_dir):
+    """Effects per event type and position taken from the events, in the shape of a coefficient table."""
+    name = F.concat(F.lit("past."), "event_type", F.lit("."), (F.col("event_id") % 10 + 1).cast("string"))
+    sign = F.when(F.col("event_type") < "m", -1).otherwise(1)
+    effects = table(spark, sf_dir, "events").groupBy("event_type", name.alias("feature"))
+    return effects.agg((F.avg("value") * sign).alias("coefficient"), F.stddev_pop("value").alias("std"))
+
+
+@query(
+    "m6_importance_shares",
+    f"""WITH {COEFFICIENTS}, f AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'browsing' ELSE event_type END AS feature, sum(abs(c) * s) AS e FROM coef GROUP BY 1)
+    SELECT feature, round(e / (sum(e) OVER () + 1e-8), 9) + 0.0 AS share FROM f""",
+)
+def importance_shares(spark, sf_dir):
+    made = fc.feature_importance(event_coefficients(spark, sf_dir), {"click": "browsing", "view": "browsing"})
+    return made.select("feature", shown("share", 9).alias("share"))
+
+
+@query(
+    "m7_position_shares",
+    f"""WITH {COEFFICIENTS}, f AS (SELECT position, sum(abs(c) * s) AS e FROM coef GROUP BY 1)
+    SELECT CAST(position AS INT) AS position, round(e / (sum(e) OVER () + 1e-8), 9) + 0.0 AS share FROM f""",
+)
+def position_shares(spark, sf_dir):
+    made = fc.position_importance(event_coefficients(spark, sf_dir))
+    return made.select("position", shown("share", 9).alias("share"))
+
+
 @query("o3_ranked_importance")
 def ranked_importance(spark, sf_dir):
     model = fitted(spark, sf_dir)[1]

@@ -485,6 +485,16 @@ def stratified_entities(spark, sf_dir):
     return smp.stratified_entities(events, BY_TYPE, "third", fraction=0.3, at_least=10)
 
 
+@query(
+    "a11_first_category",
+    """SELECT user_id, event_id % 3 AS stratum FROM
+      (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY user_id || '_' || event_type, ts, event_id) AS r FROM events) WHERE r = 1""",
+)
+def first_category(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("third", F.col("event_id") % 3)
+    return smp.first_category(events, BY_TYPE, "third")
+
+
 @query(
     "x4_row_sample",
     f"SELECT event_id FROM events WHERE {unit_sql(42, 'event_id')} < 0.1",

@@ -211,6 +211,26 @@ def timeline(spark, sf_dir):
     return made.select("user_id", "line", label.alias("label"), shown("y").alias("y"))
 
 
+@query(
+    "w8_timeline_with_importance",
+    """WITH back AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders)
+    SELECT o_custkey, 'actual' AS line, strftime(o_orderdate, '%Y-%m-%d') AS label, round(o_totalprice, 3) + 0.0 AS y FROM orders
+    UNION ALL SELECT o_custkey, l, strftime(o_orderdate, '%Y-%m-%d'), round(o_totalprice, 3) + 0.0 FROM back, (VALUES ('q10'), ('q50'), ('q90')) AS v(l) WHERE r = 1
+    UNION ALL SELECT o_custkey, l, 'M+1', round(o_totalprice * f, 3) + 0.0 FROM back, (VALUES ('q10', 0.5), ('q50', 1.0), ('q90', 2.0)) AS v(l, f) WHERE r = 1
+    UNION ALL SELECT o_custkey, 'importance', strftime(o_orderdate, '%Y-%m-%d'), round(100 * (21 - r) / 210.0, 3) + 0.0 FROM back WHERE r <= 20""",
+)
+def timeline_with_importance(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    price = F.col("o_totalprice")
+    bands = last_n(orders, ORDERS, 1).select(
+        "o_custkey", F.lit(1).alias("horizon"), (price * 0.5).alias("q10"), price.alias("q50"), (price * 2.0).alias("q90")
+    )
+    weights = spark.range(1, 21).select(F.col("id").cast("int").alias("position"), ((21 - F.col("id")) / 210).alias("share"))
+    made = win.timeline(orders, bands, ORDERS, weights)
+    label = F.when(F.col("label").startswith("M+"), F.col("label")).otherwise(F.substring("label", 1, 10))
+    return made.select("o_custkey", "line", label.alias("label"), shown("y", 3).alias("y"))
+
+
 def _live(spark, sf_dir):
     """The events table read as a stream of files."""
     events = table(spark, sf_dir, "events")

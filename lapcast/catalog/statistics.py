@@ -10,6 +10,7 @@ from lapcast.operators import dependence as dep
 from lapcast.operators import filters as flt
 from lapcast.operators import profile as prof
 from lapcast.plans.bands import empirical_bands
+from lapcast.session import written
 
 # Bins of rows per entity and of series lengths.
 ENTITY_EDGES = [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 1001]
@@ -132,17 +133,20 @@ def true_and_predicted(spark, sf_dir):
 
 
 @query(
-    "a13_density_curve",
-    f"""WITH {BANDS}, v AS (SELECT y FROM bands WHERE horizon = 1),
-    s AS (SELECT min(y) AS lo, max(y) AS hi, count(*) AS n, stddev_samp(y) * pow(count(*), -0.2) AS h FROM v),
-    m AS (SELECT y, count(*) AS c FROM v GROUP BY y)
-    SELECT CAST(i AS INT) AS point, round(lo + i * ((hi - lo) / 399), 6) + 0.0 AS x,
+    "a13_density_curves",
+    f"""WITH {BANDS}, v AS (SELECT 'true' AS series, y FROM bands WHERE horizon = 1 UNION ALL SELECT 'predicted', q50 FROM bands WHERE horizon = 1),
+    e AS (SELECT min(y) AS lo, max(y) AS hi FROM v),
+    s AS (SELECT series, count(*) AS n, stddev_samp(y) * pow(count(*), -0.2) AS h FROM v GROUP BY series),
+    m AS (SELECT series, y, count(*) AS c FROM v GROUP BY series, y)
+    SELECT series, CAST(i AS INT) AS point, round(lo + i * ((hi - lo) / 399), 6) + 0.0 AS x,
       round(sum(c * exp(-0.5 * pow((lo + i * ((hi - lo) / 399) - y) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 9) + 0.0 AS density
-    FROM range(400) AS r(i), s, m GROUP BY i, lo, hi""",
+    FROM range(400) AS r(i), e, s JOIN m USING (series) GROUP BY series, i, lo, hi""",
 )
-def density_curve(spark, sf_dir):
-    made = prof.kde(first_step(spark, sf_dir).select("y"), "y", 400)
-    return made.select("point", shown("x").alias("x"), shown("density", 9).alias("density"))
+def density_curves(spark, sf_dir):
+    rows = written(first_step(spark, sf_dir).select("y", "q50"), "density")
+    low, high = rows.agg(F.least(F.min("y"), F.min("q50")), F.greatest(F.max("y"), F.max("q50"))).first()
+    curves = [prof.kde(rows, c, 400, (low, high)).withColumn("series", F.lit(s)) for s, c in (("true", "y"), ("predicted", "q50"))]
+    return prof.append(*curves).select("series", "point", shown("x").alias("x"), shown("density", 9).alias("density"))
 
 
 def _box(c: str, label: str) -> str:
@@ -179,6 +183,11 @@ def _acf_cte(max_lag: int = 10) -> str:
 
 ACF = _acf_cte()
 
+# erf(z) = 2 / sqrt(pi) * exp(-z^2) * sum of 2^k z^(2k+1) / (2k+1)!!; the tail then has a closed form.
+P_VALUES = """tails AS (SELECT *, CASE WHEN q > 0 THEN 1 - 2 / sqrt(pi()) * exp(-q / 2) * list_sum(list_transform(range(200),
+      lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(sqrt(q / 2)) - lgamma(2 * k + 2) + lgamma(k + 1)))) WHEN q = 0 THEN 1 END AS erfc FROM lb),
+    ps AS (SELECT *, erfc + sqrt(2 * q / pi()) * exp(-q / 2) * (1 + q / 3) AS p FROM tails)"""
+
 
 def _products(spark, sf_dir):
     return dep.lag_products(table(spark, sf_dir, "events"), BY_TYPE)
@@ -226,10 +235,14 @@ def mean_autocorrelation(spark, sf_dir):
     return made.select("lag", shown("mean").alias("mean"), shown("std").alias("std"), "series")
 
 
-@query("t4_ljung_box", f"WITH {ACF} SELECT user_id, event_type, n, round(q, 5) + 0.0 AS q, q > 11.070497693516351 AS significant FROM lb")
+@query(
+    "t4_ljung_box",
+    f"""WITH {ACF}, {P_VALUES} SELECT user_id, event_type, n, round(q, 5) + 0.0 AS q, round(p, 8) + 0.0 AS p,
+    q > 11.070497693516351 AS significant FROM ps""",
+)
 def ljung_box(spark, sf_dir):
     made = dep.ljung_box(_products(spark, sf_dir), BY_TYPE)
-    return made.select("user_id", "event_type", "n", shown("q", 5).alias("q"), (F.col("p") < 0.05).alias("significant"))
+    return made.select("user_id", "event_type", "n", shown("q", 5).alias("q"), shown("p", 8).alias("p"), (F.col("p") < 0.05).alias("significant"))
 
 
 @query(
@@ -242,9 +255,12 @@ def significant_share(spark, sf_dir):
     return made.select("tested", "significant", shown("share").alias("share"))
 
 
-@query("t5_p_value_histogram")
+@query(
+    "t5_p_value_histogram",
+    _hist_sql(f"WITH {ACF}, {P_VALUES} SELECT p FROM ps", "p", 20, False),
+)
 def p_value_histogram(spark, sf_dir):
-    return dep.p_value_histogram(dep.ljung_box(_products(spark, sf_dir), BY_TYPE))
+    return _hist(dep.p_value_histogram(dep.ljung_box(_products(spark, sf_dir), BY_TYPE)))
 
 
 @query(

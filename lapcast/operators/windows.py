@@ -11,7 +11,7 @@ from lapcast.functions.columns import age_months, elapsed_days, month_index, mon
 from lapcast.operators.filters import min_group_size
 from lapcast.operators.sampling import last_n
 from lapcast.plans.ordered import blocks
-from lapcast.plans.skew import hot_keys
+from lapcast.plans.skew import hot_keys, lookup_join
 from lapcast.roles import Roles
 
 
@@ -170,7 +170,7 @@ def timeline(actuals: DataFrame, forecasts: DataFrame, roles: Roles, importance:
     newest_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in roles.order])
     reach = importance.agg(F.max("position")).first()[0] or 0
     recent = last_n(actuals, roles, reach).withColumn("position", F.row_number().over(newest_first))
-    bars = recent.join(importance, [*[k for k in keys if k in importance.columns], "position"]).select(
+    bars = lookup_join(recent, importance, [*[k for k in keys if k in importance.columns], "position"]).select(
         *keys, F.lit("importance").alias("line"), step.alias("label"), (F.col("share") * 100).alias("y")
     )
     return out.unionByName(bars)
