@@ -50,10 +50,13 @@ def months_later(date: Column | str, months: Column | int, clamp: bool = False)
 
 def elapsed_days(start: Column | str, end: Column | str, rounding: str = "down") -> Column:
     """Whole elapsed days; ``rounding="up"`` counts a started day and ignores direction."""
-    a, b = _col(start).cast("timestamp_ntz"), _col(end).cast("timestamp_ntz")
-    if rounding == "up":
-        return F.ceil(F.abs(F.timestamp_diff("MICROSECOND", a, b)) / F.lit(86_400_000_000)).cast("long")
-    return F.timestamp_diff("DAY", a, b)
+    # Subtracting zone-free times gives an exact interval whatever the session time zone.
+    span = _col(end).cast("timestamp_ntz") - _col(start).cast("timestamp_ntz")
+    days = F.extract(F.lit("DAY"), span).cast("long")
+    if rounding != "up":
+        return days
+    started = sum((F.abs(F.extract(F.lit(part), span)) for part in ("HOUR", "MINUTE")), F.abs(F.extract(F.lit("SECOND"), span)))
+    return F.abs(days) + (started > 0).cast("long")
 
 
 def unit_hash(seed: int | str, key: Column | str) -> Column:

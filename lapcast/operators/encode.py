@@ -57,11 +57,6 @@ def encode(
     return out
 
 
-def decode(df: DataFrame, column: str, dictionary: DataFrame, into: str) -> DataFrame:
-    named = dictionary.select(F.col("code").alias(column), F.col("value").alias(into))
-    return lookup_join(df, named, [column], "left")
-
-
 def fit_scaler(df: DataFrame, *columns: str) -> DataFrame:
     """(column, mean, std) with population standard deviation, all columns in one pass."""
     stats = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,34 +139,47 @@ def _few_tasks(table: DataFrame) -> DataFrame:
 
 
 def _moments(table: DataFrame, p: int, horizon: int) -> tuple[int, np.ndarray, np.ndarray, float, float]:
-    """Count, feature mean and std, target centre and spread; partial sums per task, summed by Spark."""
+    """Count, feature mean and std, target centre and spread.
+
+    A task keeps means and squared deviations per batch; Spark brings them to the common mean,
+    which stays accurate where plain sums of squares would cancel.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((p + 1, 3))
+        n, mean, dev = np.zeros(p + 1), np.zeros(p + 1), np.zeros(p + 1)
         for b in batches:
             x, y = _matrix(b.column(0), p), _matrix(b.column(1), horizon)
-            total[:p, 0] += len(x)
-            total[:p, 1] += x.sum(axis=0)
-            total[:p, 2] += (x * x).sum(axis=0)
-            total[p] += [y.size, y.sum(), (y * y).sum()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(p + 1, dtype=np.int32)), *[pa.array(total[:, j]) for j in range(3)]],
-            names=["i", "n", "s", "ss"],
-        )
-
-    sums = (
+            if not len(x):
+                continue
+            more = np.append(np.full(p, float(len(x))), float(y.size))
+            centre = np.append(x.mean(axis=0), y.mean())
+            around = np.append(((x - centre[:p]) ** 2).sum(axis=0), ((y - centre[p]) ** 2).sum())
+            gap, both = centre - mean, n + more
+            dev += around + gap**2 * n * more / both
+            mean += gap * more / both
+            n = both
+        if n[0]:
+            names = ["i", "n", "mean", "dev"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p + 1, dtype=np.int32)), pa.array(n), pa.array(mean), pa.array(dev)], names=names)
+
+    every = Window.partitionBy("i")
+    rows = (
         _few_tasks(table)
-        .mapInArrow(partial, "i int, n double, s double, ss double")
+        .mapInArrow(partial, "i int, n double, mean double, dev double")
+        .withColumn("centre", F.sum(F.col("n") * F.col("mean")).over(every) / F.sum("n").over(every))
         .groupBy("i")
-        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        .agg(
+            F.sum("n").alias("n"),
+            F.first("centre").alias("mean"),
+            F.sum(F.col("dev") + F.col("n") * F.pow(F.col("mean") - F.col("centre"), F.lit(2))).alias("dev"),
+        )
         .orderBy("i")
-        .toPandas()
+        .collect()
     )
-    n = sums["n"].to_numpy()
-    if not len(n) or n[0] == 0:
+    if not rows:
         raise ValueError("no windows to fit: are the series long enough for length + horizon?")
-    mean = sums["s"].to_numpy() / n
-    std = np.sqrt(np.maximum(sums["ss"].to_numpy() / n - mean**2, 0))
+    n, mean, dev = (np.array([r[c] for r in rows]) for c in ("n", "mean", "dev"))
+    std = np.sqrt(dev / n)
     std[std < 1e-12] = 1.0
     return int(n[0]), mean[:p], std[:p], float(mean[p]), float(std[p])
 

@@ -161,3 +161,14 @@ def test_binned_density_is_close_to_the_exact_one(spark, sf):
     binned = {r["point"]: r["density"] for r in prof.kde(events, "value", 50, grid=400).collect()}
     top = max(exact.values())
     assert all(abs(exact[p] - binned[p]) < 1e-3 * top for p in exact)
+
+
+def test_moments_survive_a_large_offset(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e9, 1.0, (400, 2))
+    df = spark.createDataFrame([(list(map(float, r)), [float(r[0])]) for r in x], "x array<double>, target array<double>").repartition(5)
+    n, mean, std, centre, spread = fc._moments(df, 2, 1)
+    assert n == 400
+    assert mean == pytest.approx(x.mean(axis=0), rel=1e-12)
+    assert std == pytest.approx(x.std(axis=0), rel=1e-4)
+    assert spread == pytest.approx(x[:, 0].std(), rel=1e-4)
