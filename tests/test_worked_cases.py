@@ -195,3 +195,14 @@ def test_median_stop_ties_go_on(spark):
     df = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double")
     verdict = {r["run_id"]: r["stop"] for r in runs.median_stop(df, 5, 3).collect()}
     assert verdict == {0: False, 1: False, 2: False, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_gaps_do_not_depend_on_the_session_zone(spark):
+    times = [dt.datetime(2024, 3, 9, 2, 30), dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 3, 11, 2, 29)]
+    df = spark.createDataFrame([("a", t, i, 0.0) for i, t in enumerate(times)], "s string, t timestamp_ntz, i int, x double")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert [r["days_since_last"] for r in win.with_gap(df, R).orderBy("i").collect()] == [0, 1, 0]
+        assert [r["days_since_last"] for r in win.with_gap(df, R, rounding="up").orderBy("i").collect()] == [0, 1, 1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
