@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Each query runs once to warm up and then BENCH_RUNS times (default 3); its median counts.
+Each query runs once to warm up and then BENCH_RUNS times (default 2); the median counts.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from lapcast.session import build_session, written
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_RUNS", "3"))
+    repeats = int(os.environ.get("BENCH_RUNS", "2"))
     spark = build_session(cpus, int(cpus) if cpus.isdigit() else 8, "lapcast-bench")
     spark.sparkContext.setLogLevel("ERROR")
     events, items = table(spark, sf, "events"), table(spark, sf, "lineitem")
