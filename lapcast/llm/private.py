@@ -34,7 +34,7 @@ _LOCAL = "A-Za-z0-9._%+-"
 BASE = (
     Kind("email", starting(_LOCAL) + rf"[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     Kind("ip", starting("0-9") + r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _small_parts),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda v: _between(v, 13, 19) & luhn(v)),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9]){12,}+", lambda v: _between(v, 13, 19) & luhn(v)),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: _between(v, 9, 15)),
 )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapcast.llm import private, rules, secrets, urls
+from lapcast.llm import katz, leaks, lines, near, packing, private, rules, secrets, urls, wrapper
 from lapcast.llm.common import table
 from lapcast.llm.registry import query
 from lapcast.llm.spans import joined
@@ -15,6 +16,31 @@ def _count(spans: str, kind: str):
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, how many of them go, and which (numbers from 0)."""
+    docs = table(spark, sf_dir, "documents")
+    late = lines.later_lines(docs).withColumnRenamed("id", "_id")
+    named = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)).alias("_id"),
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+    )
+    joined = named.join(late, "_id", "left")
+    nos = F.coalesce("nos", F.array().cast("array<int>"))
+    return joined.select("doc_id", "n_lines", F.size(nos).cast("long").alias("n_later"), F.array_join(nos, ",").alias("later_lines"))
+
+
+@query("op3_katz_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_private_data")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private.find_private(table(spark, sf_dir, "documents"))
@@ -51,6 +77,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+@query("op6_main_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.main_texts(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op7_near_duplicates")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.linked(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
+
+
 def _rules_sql() -> str:
     bounds = []
     for r in rules.RULES:
@@ -85,6 +126,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    hit = leaks.hit_words(F.col("spans"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
 @query("op10_secrets")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_scan(table(spark, sf_dir, "documents"))
