@@ -25,11 +25,11 @@ TOP = 5
 #: A word is in the lexicon if it makes up at least this share of the training tokens (and occurs twice).
 LEXICON = 1 << 20
 #: Tokens that one task counts at a time.
-PART_TOKENS = 5_000_000
+PART_TOKENS = 3_000_000
 #: A pair this frequent, and with at least this share of all pairs, is counted and scored where it is read.
 HOT_PAIR, HOT_SHARE = 200_000, 1 << 14
-#: Texts in one run.
-ROWS = 2500
+#: Texts in one run, and rows in one batch of results.
+ROWS, OUT = 1500, 50_000
 
 _END, _START = np.uint64(0xE2D), np.uint64(0x57A27)
 _BITS = np.uint64(21)
@@ -252,21 +252,24 @@ _COUNTS = [f"m{r}" for r in range(1, TOP + 2)]
 _MODEL = "kind int, name long, v int, w int, c long, s double, base double, known long, " + ", ".join(f"{m} long" for m in _COUNTS)
 
 
-def _batch(kind: int, n: int, **columns: np.ndarray) -> pa.RecordBatch:
-    arrays, names = [pa.array(np.full(n, kind, np.int32))], ["kind"]
-    for part in _MODEL.split(", ")[1:]:
-        name, kind_of = part.split()
-        arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind_of]
-        arrays.append(pa.array(columns[name]).cast(arrow) if name in columns else pa.nulls(n, arrow))
-        names.append(name)
-    return pa.RecordBatch.from_arrays(arrays, names)
+def _batches(kind: int, n: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind in batches of ``OUT``; the other kinds' columns are null."""
+    for at in range(0, n, OUT):
+        size = min(OUT, n - at)
+        arrays, names = [pa.array(np.full(size, kind, np.int32))], ["kind"]
+        for part in _MODEL.split(", ")[1:]:
+            name, kind_of = part.split()
+            arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[kind_of]
+            arrays.append(pa.array(columns[name][at : at + size]).cast(arrow) if name in columns else pa.nulls(size, arrow))
+            names.append(name)
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def _gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The names and training marks of the texts of several runs, and for every occurrence its text among them."""
     names = [np.frombuffer(r["names"], "<u8") for r in rows]
     first = np.concatenate(([0], np.cumsum([len(n) for n in names])))
-    text = np.concatenate([np.frombuffer(r["text"], "<u2").astype(np.int64) + f for r, f in zip(rows, first, strict=False)])
+    text = np.concatenate([np.frombuffer(r["text"], "<u2").astype(np.int32) + np.int32(f) for r, f in zip(rows, first, strict=False)])
     return np.concatenate(names), np.concatenate([np.frombuffer(r["train"], bool) for r in rows]), text
 
 
@@ -281,28 +284,32 @@ def _counted_pairs(rows: list[dict], lexicon: Lexicon) -> Iterator[pa.RecordBatc
     del v, w
     order = np.argsort(pair)
     pair, text = pair[order], text[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
     size = np.diff(np.append(first, len(pair)))
-    c = np.add.reduceat(train[text].astype(np.int64), first)
+    c = np.add.reduceat(train[text].astype(np.int32), first)
     pair = pair[first]
     v, w = (pair >> _BITS).astype(np.int64), (pair & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
     # log10 of the count where the pair was seen, else of the lower order's probability; what depends on the context comes later.
     value = np.repeat(np.where(c > 0, np.log10(np.maximum(c, 1)), np.log10(lexicon.p[w])), size)
-    each = np.repeat(c, size)
     n = len(names)
+    sums = np.bincount(text, value, n)
+    del value
+    each = np.repeat(c, size)
     by_count = {m: np.bincount(text[each == r], minlength=n) for r, m in enumerate(_COUNTS, 1)}
-    yield _batch(_TEXT, n, name=names.view(np.int64), s=np.bincount(text, value, n), **by_count)
+    yield from _batches(_TEXT, n, name=names.view(np.int64), s=sums, **by_count)
     missed = np.flatnonzero(each == 0)
+    del each
     if len(missed):
-        yield _batch(_BACKOFF, len(missed), name=names[text[missed]].view(np.int64), v=np.repeat(v, size)[missed])
+        yield from _batches(_BACKOFF, len(missed), name=names[text[missed]].view(np.int64), v=np.repeat(v, size)[missed])
     seen = c > 0
     v, w, c = v[seen], w[seen], c[seen]
     if len(v):
-        yield _batch(_GRAM, len(v), v=v, w=w, c=c)
+        yield from _batches(_GRAM, len(v), v=v, w=w, c=c)
         first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
         add = lambda x: np.add.reduceat(x, first)
         by_count = {m: add((c == r).astype(np.int64)) for r, m in enumerate(_COUNTS, 1)}
-        yield _batch(_CONTEXT, len(first), v=v[first], c=add(np.where(c > TOP, c, 0)), s=add(lexicon.p[w]), **by_count)
+        yield from _batches(_CONTEXT, len(first), v=v[first], c=add(np.where(c > TOP, c, 0)), s=add(lexicon.p[w]), **by_count)
 
 
 def _counted_rare(rows: list[dict], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
@@ -311,13 +318,13 @@ def _counted_rare(rows: list[dict], lexicon: Lexicon) -> Iterator[pa.RecordBatch
     c = np.bincount(which, train[text]).astype(np.int64)[which]
     n = len(names)
     sums = {"s": lexicon.within_rare(c), "base": lexicon.base(c), "known": c > 0}
-    yield _batch(_TEXT, n, name=names.view(np.int64), **{k: np.bincount(text, x, n) for k, x in sums.items()})
+    yield from _batches(_TEXT, n, name=names.view(np.int64), **{k: np.bincount(text, x, n) for k, x in sums.items()})
 
 
 def _counted_hot(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     pair, which = np.unique(np.concatenate([np.frombuffer(r["x"], "<u8") for r in rows]), return_inverse=True)
     c = np.bincount(which, np.concatenate([np.frombuffer(r["y"], "<u8") for r in rows]))
-    yield _batch(_HOT, len(pair), v=pair >> _BITS, w=pair & ((np.uint64(1) << _BITS) - np.uint64(1)), c=c)
+    yield from _batches(_HOT, len(pair), v=pair >> _BITS, w=pair & ((np.uint64(1) << _BITS) - np.uint64(1)), c=c)
 
 
 def _model(runs: DataFrame, lexicon: Lexicon, parts: int) -> DataFrame:
