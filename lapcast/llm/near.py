@@ -24,8 +24,9 @@ BANDS, ROWS = 42, 6
 CHANCE = 2.0**-MANTISSA / 3
 #: Pairs whose estimate is this far below the threshold are not verified: over six standard errors of 256 registers.
 MARGIN = 0.15
-#: Fewer filled registers than this say too little; such pairs are always verified.
+#: Fewer filled registers than this say too little for an estimate; the bound on unlike registers still holds.
 TOLD = 128
+CODES = [f"code{i}" for i in range(2 * REGISTERS // 64)]
 PERCENT = 85
 
 
@@ -51,6 +52,29 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
     return max(0.0, (share - CHANCE) / (1 - CHANCE)), filled
 
 
+def codes(register_rows: np.ndarray) -> list[np.ndarray]:
+    """The two lowest bits of every register of each row, as eight 64-bit numbers, low bits first."""
+    bits = [np.packbits((register_rows >> k & 1).astype(bool), axis=1).view(np.int64) for k in (0, 1)]
+    return [half[:, i] for half in bits for i in range(REGISTERS // 64)]
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two rows with ``n`` and ``CODES`` may be a link, told by the registers whose codes differ.
+
+    Every register that differs takes an element of its own that only one set has, and links have few of those: for
+    small sets this bound is exact and sharp. Beside it stands the number that codes of a link exceed by chance only,
+    six standard errors above what is expected when a quarter of unlike registers have like codes.
+    """
+    half = REGISTERS // 64
+    changed = lambda i: F.col(f"{a}.{CODES[i]}").bitwiseXOR(F.col(f"{b}.{CODES[i]}"))
+    unlike = sum((F.bit_count(changed(i).bitwiseOR(changed(i + half))) for i in range(half)), F.lit(0))
+    q = 0.75 * (1 - percent / 100)
+    chance = REGISTERS * q + 6 * (REGISTERS * q * (1 - q)) ** 0.5
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & ((100 + percent) * unlike <= (100 - percent) * (n_a + n_b)) & (unlike <= chance)
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     """For every text of a batch its sorted distinct shingle hashes."""
     w = hashed(column)
@@ -59,7 +83,7 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n, d1, d2, registers``: size of the shingle set, 128 bits that name the set, and its registers."""
+    """``id, n, d1, d2, registers`` and ``CODES``: size of the shingle set, 128 bits that name the set, its registers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,12 +94,14 @@ def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 d2.append(np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else np.uint64(0))
                 regs.append(registers(s).tobytes() if len(s) else bytes(2 * REGISTERS))
             longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            bits = codes(np.frombuffer(b"".join(regs), dtype="<u2").reshape(-1, REGISTERS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), longs(d1), longs(d2), pa.array(regs, pa.binary())],
-                ["id", "n", "d1", "d2", "registers"],
+                [batch.column("id"), pa.array(n, pa.int64()), longs(d1), longs(d2), pa.array(regs, pa.binary()), *map(pa.array, bits)],
+                ["id", "n", "d1", "d2", "registers", *CODES],
             )
 
-    return mapped(id_and_text(df, key, text), sketch, "id long, n long, d1 long, d2 long, registers binary")
+    schema = "id long, n long, d1 long, d2 long, registers binary, " + ", ".join(f"{c} long" for c in CODES)
+    return mapped(id_and_text(df, key, text), sketch, schema)
 
 
 def band_keys(registers_column: Column) -> Column:
@@ -100,12 +126,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("r_a").to_pylist(), batch.column("r_b").to_pylist(), strict=True)
-            told = [similarity(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")) for x, y in both]
-            keep = pa.array([filled < TOLD or j >= percent / 100 - MARGIN for j, filled in told], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
-
-    close = written(sized.select("a", "b", "r_a", "r_b").mapInArrow(estimate, "a long, b long"), "near-close")
+            keep = []
+            for x, y, total in zip(*(batch.column(c).to_pylist() for c in ("r_a", "r_b", "total")), strict=True):
+                x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                j, filled = similarity(x, y)
+                possible = (100 + percent) * np.count_nonzero(x != y) <= (100 - percent) * total
+                keep.append(bool(possible and (filled < TOLD or j >= percent / 100 - MARGIN)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    told = sized.select("a", "b", "r_a", "r_b", (F.col("n_a") + F.col("n_b")).alias("total"))
+    close = written(told.mapInArrow(estimate, "a long, b long"), "near-close")
     salts = close.groupBy("a").agg(F.count(F.lit(1)).alias("k")).select("a", F.ceil(F.col("k") / 256).cast("int").alias("salts"))
     dealt = close.join(salts, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("salts")))
     heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -139,14 +169,15 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     its smallest id, and have a null component if none is there. Only the two named columns are read.
 
     In every bucket each class is compared with the bucket's smallest one, then with three others, and only pairs
-    that are still in different components after that are compared one by one; so a bucket of copies costs its length.
+    that are still in different components after that are compared one by one, by the codes of their registers first; so
+    a bucket of copies costs its length.
     """
     rows = written(sketches(df, key, text), "near-sketch")
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("_n"))
     classes = written(classes, "near-classes")
     heads = classes.select(F.col("node").alias("id"), "d1", "d2")
     heads = rows.join(heads, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
-    nodes = written(heads.select(F.col("id").alias("node"), "n", "registers"), "near-nodes")
+    nodes = written(heads.select(F.col("id").alias("node"), "n", "registers", *CODES), "near-nodes")
 
     keyed = nodes.select(F.explode(band_keys(F.col("registers"))).alias("key"), "node", "n")
     hubs = [F.min("node").alias("h0"), F.max("node").alias("h1")]
@@ -176,10 +207,14 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
             found = found.distinct().join(named, "hub", "left").where("group <> coalesce(hub_group, hub)")
             fresh = pair(found, "hub", "node")
         else:
-            x = left.select("key", F.col("node").alias("x"), F.col("group").alias("gx"), F.col("n").alias("nx"))
-            y = left.select("key", F.col("node").alias("y"), F.col("group").alias("gy"), F.col("n").alias("ny"))
-            close = (F.col("gx") < F.col("gy")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-            fresh = pair(x.join(y, "key").where(close), "x", "y")
+            # Nothing inside a bucket's largest component needs comparing, only the others with all.
+            counted = left.groupBy("key", "group").agg(F.count(F.lit(1)).alias("k"))
+            major = counted.groupBy("key").agg(F.max(F.struct("k", "group"))["group"].alias("major"))
+            coded = left.select("key", "node", "group").join(nodes.select("node", F.struct("node", "n", *CODES).alias("code")), "node").join(major, "key")
+            x = coded.select("key", F.col("code").alias("x"), F.col("group").alias("gx"), "major")
+            y = coded.where("group <> major").select("key", F.col("code").alias("y"), F.col("group").alias("gy"))
+            apart = (F.col("gx") != F.col("gy")) & ((F.col("gx") == F.col("major")) | (F.col("gx") < F.col("gy")))
+            fresh = pair(x.join(y, "key").where(apart & may_link("x", "y", percent)), "x.node", "y.node")
         fresh = written(fresh.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = links.unionByName(confirmed(fresh))
         groups = components(links, "a", "b")
