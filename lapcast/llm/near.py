@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ CHANCE = 2.0**-MANTISSA / 3
 MARGIN = 0.15
 #: Fewer filled registers than this say too little for an estimate; the bound on unlike registers still holds.
 TOLD = 128
-CODES = [f"code{i}" for i in range(2 * REGISTERS // 64)]
+#: The lowest bits of a register that travel with a row while pairs are looked for.
+CODE_BITS = 4
+CODES = [f"code{i}" for i in range(CODE_BITS * REGISTERS // 64)]
 PERCENT = 85
 
 
@@ -53,8 +56,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, int]:
 
 
 def codes(register_rows: np.ndarray) -> list[np.ndarray]:
-    """The two lowest bits of every register of each row, as eight 64-bit numbers, low bits first."""
-    bits = [np.packbits((register_rows >> k & 1).astype(bool), axis=1).view(np.int64) for k in (0, 1)]
+    """The lowest bits of every register of each row as 64-bit numbers, those of one bit of all registers together."""
+    bits = [np.packbits((register_rows >> k & 1).astype(bool), axis=1).view(np.int64) for k in range(CODE_BITS)]
     return [half[:, i] for half in bits for i in range(REGISTERS // 64)]
 
 
@@ -63,13 +66,14 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
     Every register that differs takes an element of its own that only one set has, and links have few of those: for
     small sets this bound is exact and sharp. Beside it stands the number that codes of a link exceed by chance only,
-    six standard errors above what is expected when a quarter of unlike registers have like codes.
+    five standard errors above what is expected when one in sixteen unlike registers has a like code.
     """
-    half = REGISTERS // 64
+    lanes = REGISTERS // 64
     changed = lambda i: F.col(f"{a}.{CODES[i]}").bitwiseXOR(F.col(f"{b}.{CODES[i]}"))
-    unlike = sum((F.bit_count(changed(i).bitwiseOR(changed(i + half))) for i in range(half)), F.lit(0))
-    q = 0.75 * (1 - percent / 100)
-    chance = REGISTERS * q + 6 * (REGISTERS * q * (1 - q)) ** 0.5
+    turned = lambda i: reduce(lambda x, y: x.bitwiseOR(y), [changed(i + k * lanes) for k in range(CODE_BITS)])
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(turned(i)) for i in range(lanes)])
+    q = (1 - 2.0**-CODE_BITS) * (1 - percent / 100)
+    chance = REGISTERS * q + 5 * (REGISTERS * q * (1 - q)) ** 0.5
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
     return sizes & ((100 + percent) * unlike <= (100 - percent) * (n_a + n_b)) & (unlike <= chance)
