@@ -196,7 +196,7 @@ _RUN = "part int, names binary, train binary, text binary, x binary, y binary, z
 
 
 def _runs(texts: DataFrame, lexicon: Lexicon, hot: np.ndarray, parts: int) -> DataFrame:
-    """Packed occurrences by part. Parts below ``parts`` hold pairs, the next ``parts`` rare words, the last counts of hot pairs."""
+    """Packed occurrences by part. Parts below ``parts`` hold pairs, the next ``parts`` rare words, the last ``parts`` counts of hot pairs."""
     context = np.concatenate((lexicon.counts, [max(lexicon.rare_tokens, 1), 1, max(lexicon.texts, 1)]))
     # A context with more tokens than a part should hold is dealt on by its followers.
     spread = np.maximum(1, context * 4 // PART_TOKENS).astype(np.uint64)
@@ -223,7 +223,7 @@ def _runs(texts: DataFrame, lexicon: Lexicon, hot: np.ndarray, parts: int) -> Da
             often = _is_hot(pair, hot)
             if often.any():
                 seen, n = np.unique(pair[often & train[t.text]], return_counts=True)
-                out.append((2 * parts, b"", b"", b"", seen.tobytes(), n.astype("<u8").tobytes(), b""))
+                out.append((2 * parts + int(t.names[0] % np.uint64(parts)), b"", b"", b"", seen.tobytes(), n.astype("<u8").tobytes(), b""))
             before, token, text, pair = t.before[~often], t.token[~often], t.text[~often], pair[~often]
             share = mixed(token.astype(np.uint64)) % spread[before]
             part = (mixed(before.astype(np.uint64) << np.uint64(20) ^ share) % np.uint64(parts)).astype(np.int64)
@@ -347,7 +347,7 @@ def _model(runs: DataFrame, lexicon: Lexicon, parts: int) -> DataFrame:
                 held.append(row)
         yield from finished()
 
-    placed = runs.repartition(2 * parts + 1, "part").sortWithinPartitions("part")
+    placed = runs.repartition(3 * parts, "part").sortWithinPartitions("part")
     return written(placed.mapInArrow(count, _MODEL), "katz-pairs")
 
 
