@@ -16,7 +16,7 @@ from lapcast.session import written
 
 LIMIT = 2048
 #: Entries of a worker's table of known words; it is emptied when it is full.
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 1_000_000
 #: Pieces of one length are numbered in shards of about so many.
 SHARD_ROWS = 20_000
 _PIECE = "id long, piece int, start long, length long, ids_crc32 long"
