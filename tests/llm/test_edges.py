@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import numpy as np
 import pytest
 
 import brute
@@ -282,3 +283,27 @@ def test_tree_matching_keeps_order():
     a, b = (wrapper.parsed(f"<div><h1>x</h1>{x}<h2>y</h2></div>") for x in ("<p>1</p><p>2</p><ul></ul>", "<ul></ul><p>2</p>"))
     labels = sorted(x.label for x, _ in wrapper.matching(a, b))
     assert labels == sorted(["", "div", "h1", "h2", "p"]) or labels == sorted(["", "div", "h1", "h2", "ul"])
+
+
+def test_lines_of_a_rare_word_meet_once_each():
+    rng = np.random.default_rng(5)
+    n = 60
+    size = rng.integers(5, 12, n)
+    c = {
+        "token": np.sort(rng.integers(0, 4, n)), "id": rng.integers(0, 9, n), "no": rng.integers(0, 3, n), "size": size,
+        "pos": rng.integers(0, 2, n), "small": rng.random(n) < 0.7, "sketch": rng.choice(np.array([-1, -2, 0, 1, 2**62, -(2**63)]), n),
+    }
+    found = sorted(zip(*(x.tolist() for x in lines._rare_pairs(c, 80)), strict=True))
+    rows = [dict(zip(c, r, strict=True)) for r in zip(*(v.tolist() for v in c.values()), strict=True)]
+    told = []
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            first, second = sorted((x, y), key=lambda r: (r["id"], r["no"]))
+            place = [(r["id"], r["no"]) for r in (first, second)]
+            total, small = x["size"] + y["size"], min(x["size"], y["size"])
+            unlike = bin((x["sketch"] ^ y["sketch"]) & (2**64 - 1)).count("1")
+            bound = min(r["size"] - r["pos"] for r in (x, y))
+            prefix = all(r["small"] for r in (x, y) if r["size"] == small)
+            if x["token"] == y["token"] and place[0] < place[1] and 180 * unlike <= 20 * total and 100 * small >= 80 * (total - small) and 180 * bound >= 80 * total and prefix:
+                told.append((*place[0], *place[1]))
+    assert found == sorted(told) and told
