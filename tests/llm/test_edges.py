@@ -279,6 +279,16 @@ def test_induced_wrapper_finds_the_varying_slot():
     assert got == "Story 9 begins with many words that differ on page 9.\nAnd it ends 63."
 
 
+def test_wrapper_decides_on_pages_with_an_article(spark):
+    page = lambda i: f"""<html><body><div class="top"><article><p>Best offers of our shop</p></article></div><div class="text"><p>Story {i} has
+        words of page {i} only, and it has many.</p><p>Ends {i * 7}.</p></div></body></html>"""
+    other = lambda i: f"<html><body><article><h1>Title {i}</h1><p>Text of page {i}.</p><p>Join our list</p></article></body></html>"
+    rows = [(i, "http://a.com/x", page(i)) for i in range(7)] + [(10 + i, "http://b.com/x", other(i)) for i in range(7)]
+    got = {r["id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} has words of page {i} only, and it has many.\nEnds {i * 7}." for i in range(7))
+    assert all(got[10 + i] == f"Title {i}\nText of page {i}." for i in range(7))
+
+
 def test_tree_matching_keeps_order():
     a, b = (wrapper.parsed(f"<div><h1>x</h1>{x}<h2>y</h2></div>") for x in ("<p>1</p><p>2</p><ul></ul>", "<ul></ul><p>2</p>"))
     labels = sorted(x.label for x, _ in wrapper.matching(a, b))
