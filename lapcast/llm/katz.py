@@ -1,7 +1,7 @@
 """A Katz backoff model of word pairs: Good-Turing discounts, exactly normalised backoff weights, scores for every text.
 
-Words that are frequent in the corpus form the lexicon, whose size is bounded by a share of all tokens; the others are
-one class, within which a word has its own probability from its own count. All counts are exact and of all training
+Words that occur twice form the lexicon, whatever the corpus's size; words seen once are one class with unseen ones,
+within which a word has its own probability from its own count. All counts are exact and of all training
 texts. Occurrences are shuffled once, as packed runs that are dealt by context; a task counts the pairs of its contexts
 and scores their occurrences from the same run.
 """
@@ -22,8 +22,8 @@ from lapcast.session import written
 
 #: Pairs seen at most so often are discounted.
 TOP = 5
-#: A word is in the lexicon if it makes up at least this share of the training tokens (and occurs twice).
-LEXICON = 1 << 20
+#: A word is in the lexicon if it occurs so often in training.
+LEAST_COUNT = 2
 #: Tokens that one task counts at a time.
 PART_TOKENS = 3_000_000
 #: A pair this frequent, and with at least this share of all pairs, is counted and scored where it is read.
@@ -32,7 +32,7 @@ HOT_PAIR, HOT_SHARE = 200_000, 1 << 14
 ROWS, OUT = 1500, 50_000
 
 _END, _START = np.uint64(0xE2D), np.uint64(0x57A27)
-_BITS = np.uint64(21)
+_BITS = np.uint64(32)
 
 
 @dataclass
@@ -146,8 +146,8 @@ def _unigrams(texts: DataFrame) -> DataFrame:
     return written(counted, "katz-words")
 
 
-def _lexicon(counts: DataFrame, size: int) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon of at most ``size`` words, and the frequent pairs as (before, token) classes."""
+def _lexicon(counts: DataFrame, size: int | None) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon, of at most ``size`` words if that is given, and the frequent pairs as (before, token) classes."""
     words = counts.where("b IS NULL")
     end = int(_END)
     total = words.agg(
@@ -155,7 +155,7 @@ def _lexicon(counts: DataFrame, size: int) -> tuple[Lexicon, np.ndarray]:
         F.coalesce(F.sum(F.when(F.col("a") == end, F.col("n"))), F.lit(0)).alias("texts"),
         F.count_if((F.col("n") == 1) & (F.col("a") != end)).alias("singles"),
     ).first()
-    least = max(2, -(-total["n"] // size))
+    least = LEAST_COUNT if size is None else max(LEAST_COUNT, -(-total["n"] // size))
     kept = words.where((F.col("n") >= least) & (F.col("a") != end)).select("a", "n").toArrow()
     hashes, n = kept["a"].to_numpy().view(np.uint64), kept["n"].to_numpy()
     order = np.argsort(hashes)
@@ -230,10 +230,9 @@ def _runs(texts: DataFrame, lexicon: Lexicon, hot: np.ndarray, parts: int) -> Da
 
             def pairs(rows: np.ndarray) -> tuple[bytes, bytes, bytes]:
                 v, n = np.unique(before[rows], return_counts=True)
-                w = token[rows]
-                return v.astype("<u4").tobytes(), n.astype("<u4").tobytes(), (w & 0xFFFF).astype("<u2").tobytes() + (w >> 16).astype("u1").tobytes()
+                return v.astype("<u4").tobytes(), n.astype("<u4").tobytes(), token[rows].astype("<u4").tobytes()
 
-            runs(part, text, np.argsort(part.astype(np.uint64) << np.uint64(42) | pair), pairs, 0)
+            runs(part, text, np.lexsort((pair, part)), pairs, 0)
             part = (mixed(t.rare_hashes) % np.uint64(parts)).astype(np.int64)
             rare = lambda rows: (t.rare_hashes[rows].tobytes(), b"", b"")
             runs(part, t.rare_text, np.argsort(part, kind="stable"), rare, parts)
@@ -276,11 +275,8 @@ def _gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _counted_pairs(rows: list[dict], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     names, train, text = _gathered(rows)
     v = np.concatenate([np.repeat(np.frombuffer(r["x"], "<u4"), np.frombuffer(r["y"], "<u4")) for r in rows])
-    w = []
-    for r in rows:
-        n = len(r["text"]) // 2
-        w.append(np.frombuffer(r["z"], "<u2", n).astype(np.uint32) | np.frombuffer(r["z"], "u1", n, 2 * n).astype(np.uint32) << np.uint32(16))
-    pair = _pair(v, np.concatenate(w))
+    w = np.concatenate([np.frombuffer(r["z"], "<u4") for r in rows])
+    pair = _pair(v, w)
     del v, w
     order = np.argsort(pair)
     pair, text = pair[order], text[order]
@@ -407,14 +403,15 @@ def _weights(model: DataFrame, lexicon: Lexicon, hot: np.ndarray) -> tuple[np.nd
     return under, alpha, d, np.where(hot_c > 0, np.log10(np.maximum(hot_c, 1) * cut), backed)
 
 
-def katz_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon_size: int = LEXICON, part_tokens: int | None = None) -> DataFrame:
+def katz_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon_size: int | None = None, part_tokens: int | None = None) -> DataFrame:
     """One row per input row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     A text is its words and one end; null and empty texts are the end alone. Texts whose id has crc32 mod 7 = 2 are held
     out, and a null id counts as the empty text there; all others train. ``score`` is the model's log10 probability of the
     text, ``base_score`` that of the add-one model. Without training texts every count is 0 and scores stay finite.
     Repeated rows train as often as they occur and get one score each: partial sums meet by a 64-bit name of id and words
-    and are shared evenly. Only the two named columns are read.
+    and are shared evenly. Only the two named columns are read. Every task holds 24 bytes a word of the lexicon;
+    ``lexicon_size`` bounds it, and then words below the share 1 / ``lexicon_size`` of all tokens fall into the class.
     """
     texts = _marked(df, key, text)
     counts = _unigrams(texts)

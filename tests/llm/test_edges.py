@@ -160,6 +160,16 @@ def test_katz_of_edges(edges):
         assert any(r["score"] == pytest.approx(model.scores(t)[3], rel=1e-8) for t in texts)
 
 
+def test_katz_keeps_words_of_two_occurrences_in_a_larger_corpus(spark):
+    often = "and so it goes on " * 30_000
+    docs = [(d, often) for d in range(24)] + [(100 + d, "seldom seen words stand here") for d in range(2)]
+    assert not any(brute.held_out(d) for d in (100, 101))
+    model = brute.Katz(docs, size=1 << 62)
+    assert model.n > 2 << 20 and "seldom" in model.lexicon
+    got = {r["id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[100] == pytest.approx(model.scores(docs[-1][1])[3], rel=1e-9)
+
+
 def test_private_spans_of_edges(edges):
     for r in private.find_private(edges).collect():
         found = [brute.spans(t, brute.PRIVATE) for d, t in TEXTS if d == r["id"]]
