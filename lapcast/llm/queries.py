@@ -26,12 +26,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its lines, how many of them go, and which (numbers from 0)."""
     docs = table(spark, sf_dir, "documents")
-    late = lines.later_lines(docs).withColumnRenamed("id", "_id")
+    late = lines.later_lines(docs).withColumnsRenamed({"id": "_id", "row": "_key"})
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)).alias("_id"),
+        lines.row_key(F.col("doc_id"), F.col("text")).alias("_key"),
         F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
     )
-    joined = named.join(late, "_id", "left")
+    joined = named.join(late, ["_id", "_key"], "left")
     nos = F.coalesce("nos", F.array().cast("array<int>"))
     return joined.select("doc_id", "n_lines", F.size(nos).cast("long").alias("n_later"), F.array_join(nos, ",").alias("later_lines"))
 

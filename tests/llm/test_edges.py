@@ -118,6 +118,15 @@ def test_similar_lines_in_one_text(spark):
     assert got[0]["text"] == "\n".join([base, "short one", "of the and to a"]) and got[0]["n_chars"] == len(got[0]["text"])
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    line = lambda k: f"{k} alpha{k} beta{k} gamma{k} delta{k} epsilon{k}"
+    copy = line("x")
+    rows = [(i, f"{line(f'a{i or 0}{n}')}\n{copy if n == 1 else line(f'b{i or 0}{n}')}") for i in (None, 7) for n in range(4)] + [(-5, copy)]
+    got = lines.without_later_lines(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars int")).collect()
+    want = [(i, t if i != 7 else t.replace(f"\n{copy}", "")) for i, t in rows if i != -5]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in want)
+
+
 def test_near_duplicates_of_edges(edges):
     got = [(r["id"], r["n"], r["component"]) for r in near.linked(edges).collect()]
     assert sorted(x for x in got if x[0] in (1, 2, 3, 4)) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4)]
