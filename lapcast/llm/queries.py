@@ -24,9 +24,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its lines, how many of them go, and which (numbers from 0)."""
+    """Per document its lines, how many of them go, and which (numbers from 0); lines of fewer than five distinct words stay."""
     docs = table(spark, sf_dir, "documents")
-    late = lines.later_lines(docs).withColumnsRenamed({"id": "_id", "row": "_key"})
+    late = lines.later_lines(docs, least=5).withColumnsRenamed({"id": "_id", "row": "_key"})
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)).alias("_id"),
         lines.row_key(F.col("doc_id"), F.col("text")).alias("_key"),

@@ -127,6 +127,14 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for i, t in want)
 
 
+def test_short_lines_meet_too(spark):
+    pool = ["yes", "no way", "NO way", "one two three", "three two one", "one two four", "a b c d", "d c b a e", "a b c e", "word word word", "word", " "]
+    rng = np.random.default_rng(3)
+    docs = [(i, "\n".join(rng.choice(pool, 4))) for i in range(12)]
+    got = {r["id"]: r["nos"] for r in lines.later_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.later_lines(docs, 80, 1)
+
+
 def test_near_duplicates_of_edges(edges):
     got = [(r["id"], r["n"], r["component"]) for r in near.linked(edges).collect()]
     assert sorted(x for x in got if x[0] in (1, 2, 3, 4)) == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4)]
