@@ -316,6 +316,19 @@ def test_wrapper_decides_on_pages_with_an_article(spark):
     assert all(got[10 + i] == f"Title {i}\nText of page {i}." for i in range(7))
 
 
+def test_template_is_counted_over_all_pages(spark):
+    large = "<div>" + "<p></p>" * 1600 + "</div>"
+    plain = lambda i: f"<html><body><div class='a'><p>Story {i} of the common layout.</p></div></body></html>"
+    seldom = lambda i: f"<html><body><div class='b'><p>Report {i} of the other layout.</p><p>Sign up here</p></div></body></html>"
+    huge = lambda i: f"<html><body><p>Our own site</p><h2>Number {i}</h2>{large}</body></html>"
+    rows = [(i, "http://a.com/x", plain(i)) for i in range(60)] + [(100 + i, "http://a.com/x", seldom(i)) for i in range(5)]
+    rows += [(200 + i, "http://b.com/x", huge(i)) for i in range(4)]
+    got = {r["id"]: r["text"] for r in wrapper.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} of the common layout." for i in range(60))
+    assert all(got[100 + i] == f"Report {i} of the other layout." for i in range(5))
+    assert all(got[200 + i] == f"Number {i}" for i in range(4))
+
+
 def test_tree_matching_keeps_order():
     a, b = (wrapper.parsed(f"<div><h1>x</h1>{x}<h2>y</h2></div>") for x in ("<p>1</p><p>2</p><ul></ul>", "<ul></ul><p>2</p>"))
     labels = sorted(x.label for x, _ in wrapper.matching(a, b))
