@@ -32,8 +32,8 @@ ADDED = (
     Kind("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}+-----END"),
     Kind("login", r"://[A-Za-z0-9._-]{1,60}:[^\s/@:]{6,60}@"),
 )
-#: A value that so many owners hold is a copied example; so is one that spells out that it is a placeholder.
-EXAMPLE_OWNERS = 3
+#: A value that so many owners or repositories hold is a copied example; so is one that spells out that it is a placeholder.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 3
 _PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|x{6,}|\*{4,}|(.)\1{7,}|0123456|abcdef0?123"
 
 
@@ -79,7 +79,7 @@ def secret_scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: s
     """One row per input row: ``id``, ``base`` and ``spans`` (ordered span arrays) and ``verdicts``.
 
     ``verdicts`` holds one struct per span: kind, start, end, owners, repos and verdict, which is ``example``
-    (held by ``EXAMPLE_OWNERS`` owners or more, or a placeholder), ``live`` (held by fewer and live-looking) or
+    (held by ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOS`` repositories or more, or a placeholder), ``live`` (held by fewer and live-looking) or
     ``weak``. Null and empty texts have no spans; null owners count as no owner; a repository is a pair of owner
     and ``repo``. Repeated rows keep one result each. Only the four named columns are read, so others may have any name.
     """
@@ -99,7 +99,7 @@ def secret_scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: s
     held = written(ownership(spans), "secret-owners")
     placed = salted_join(spans, held.drop("_n"), ["hash"], sizes=held.select("hash", "_n"))
     verdict = (
-        F.when((F.col("owners") >= EXAMPLE_OWNERS) | F.col("secret").rlike(_PLACEHOLDER), "example")
+        F.when((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS) | F.col("secret").rlike(_PLACEHOLDER), "example")
         .when(looks_live(F.col("secret")), "live")
         .otherwise("weak")
     )

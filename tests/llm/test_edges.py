@@ -225,6 +225,12 @@ def test_copied_secrets_are_examples(spark):
     assert told[10] == [("example", 5, 5)] and told[20][0][0] == "example" and told[21] == []
 
 
+def test_secrets_of_many_repositories_are_examples(spark):
+    rows = [(i, "password = q7Zr9XkLm2Pv4TnB", "s1", f"l{i}") for i in range(4)]
+    found = secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert [[(v["verdict"], v["owners"], v["repos"]) for v in r["verdicts"]] for r in found] == [[("example", 1, 4)]] * 4
+
+
 def test_rules_of_edges(edges):
     for r in rules.judged(edges).collect():
         assert any({k: r[k] for k in w} == w for w in (brute.quality(t) for d, t in TEXTS if d == r["doc_id"]))
