@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapcast.llm import katz, leaks, lines, near, packing, private, rules, secrets, urls, wrapper
+from lapcast.llm import audit, clusters, katz, leaks, lines, mixing, near, packing, private, rules, secrets, urls, wrapper
 from lapcast.llm.common import table
 from lapcast.llm.registry import query
 from lapcast.llm.spans import joined
@@ -147,3 +147,63 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.digest(F.col("base")).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
         told("live").alias("n_live"), told("example").alias("n_example"),
     )
+
+
+def _clusters_sql(count: int = 16, rounds: int = 3) -> str:
+    """Every round is one step: squared distances over zipped lists, then floored means by component."""
+    near = """a{r} AS (SELECT row, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+  SELECT row, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM x, c{r}) GROUP BY row)"""
+    mean = """m{r} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n) ORDER BY i) AS c FROM (
+  SELECT cluster, i, sum(v) AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(range(1, 65)) AS i, unnest(x) AS v FROM a{r} JOIN x USING (row)) GROUP BY cluster, i) GROUP BY cluster),
+c{n} AS (SELECT o.cluster, CAST(coalesce(m.c, o.c) AS BIGINT[]) AS c FROM c{r} o LEFT JOIN m{r} m ON m.cluster = o.cluster)"""
+    steps = [step.format(r=r, n=r + 1) for r in range(rounds) for step in (near, mean)] + [near.format(r=rounds)]
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS row, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+x AS (SELECT row, vec_id, list_transform(e, lambda v: CAST(floor(CAST(v AS DOUBLE) * 64) AS BIGINT)) AS x FROM k),
+c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS cluster, x AS c FROM (
+  SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM x ORDER BY h, x LIMIT {count})),
+{", ".join(steps)}
+SELECT x.vec_id, CAST(a.cluster AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN x USING (row) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
+@query("op11_centroid_clusters", _clusters_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))[0].withColumnRenamed("id", "vec_id")
+
+
+_AUDIT_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(first < doc_id, FALSE)] AS f FROM w),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l ON l.doc_id = f.doc_id),
+c AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, f),
+i AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, i AS step, o[i] AS own, o[1:i - 1] AS before FROM o, i),
+m AS (SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, len(list_filter(before, lambda x: f[x])) = 0 AS alive,
+    len(list_filter(f, lambda x: x)) AS failed FROM c, s),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN alive AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN alive AND fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN fails AND NOT alive THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN alive AND fails THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN alive AND fails THEN toxic ELSE 0 END) AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r"""
+
+
+@query("op12_filter_audit", _AUDIT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_source_mix")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.taken_words(mixing.mixed_sources(table(spark, sf_dir, "documents")))
+    return taken.withColumnRenamed("id", "doc_id")
