@@ -311,11 +311,6 @@ def search_outcome(spark, sf_dir, n: int = 3, rounds: int = 3):
     return runs.search(runs.candidates(spark, SPACE, n), run, "penalised_score")
 
 
-@query("h1_search")
-def search(spark, sf_dir):
-    return search_outcome(spark, sf_dir)[0]
-
-
 def _early_sql(patience: int, delta: float) -> str:
     return f"""WITH RECURSIVE {CURVES}, walk AS (
       SELECT run_id, epoch, val_loss AS best, 0 AS counter, epoch AS best_epoch, 1 AS saves FROM curves WHERE epoch = 1

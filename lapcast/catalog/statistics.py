@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lapcast.catalog.registry import BY_TYPE, EVENTS, ITEMS, ORDERS, query, shown, table
@@ -149,6 +151,20 @@ def density_curves(spark, sf_dir):
     return prof.append(*curves).select("series", "point", shown("x").alias("x"), shown("density", 9).alias("density"))
 
 
+@query(
+    "a13_density_of_prices",
+    """WITH s AS (SELECT count(*) AS n, stddev_samp(l_extendedprice) * pow(count(*), -0.2) AS h, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+    m AS (SELECT l_extendedprice AS y, count(*) AS c FROM lineitem GROUP BY y)
+    SELECT CAST(i AS INT) AS point, round(lo + i * ((hi - lo) / 99), 6) + 0.0 AS x,
+      round(1e5 * sum(c * exp(-0.5 * pow((lo + i * ((hi - lo) / 99) - y) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 9) + 0.0 AS density
+    FROM range(100) AS r(i), s, m GROUP BY i, lo, hi""",
+)
+def density_of_prices(spark, sf_dir):
+    """Far more distinct values than points; density per 100,000 units of price."""
+    made = prof.kde(table(spark, sf_dir, "lineitem"), "l_extendedprice", 100)
+    return made.select("point", shown("x").alias("x"), shown(F.col("density") * 1e5, 9).alias("density"))
+
+
 def _box(c: str, label: str) -> str:
     return f"""SELECT '{label}' AS series, round(q1, 6) + 0.0 AS q1, round(q2, 6) + 0.0 AS median, round(q3, 6) + 0.0 AS q3,
     round(least(min({c}) FILTER (WHERE {c} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)), q1), 6) + 0.0 AS low,
@@ -245,6 +261,28 @@ def ljung_box(spark, sf_dir):
     return made.select("user_id", "event_type", "n", shown("q", 5).alias("q"), shown("p", 8).alias("p"), (F.col("p") < 0.05).alias("significant"))
 
 
+def _even_tail(freedom: int) -> str:
+    """The chi-square tail of an even number of degrees of freedom is a finite sum."""
+    return "exp(-q / 2) * (" + " + ".join(f"pow(q / 2, {j}) / {math.factorial(j)}.0" for j in range(freedom // 2)) + ")"
+
+
+_LONG_Q = {k: " + ".join(f"r{j} * r{j} / (n - {j})" for j in range(1, k + 1)) for k in (10, 20)}
+
+
+@query(
+    "t4_ljung_box_long",
+    f"""WITH dev AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id) AS d FROM events),
+    led AS (SELECT user_id, d, {", ".join(f"lead(d, {k}) OVER w AS d{k}" for k in range(1, 21))} FROM dev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT user_id, count(*) AS n, {", ".join(f"sum(d * d{k}) / sum(d * d) AS r{k}" for k in range(1, 21))} FROM led GROUP BY user_id),
+    q AS ({" UNION ALL ".join(f"SELECT user_id, {k} AS lags, n, n * (n + 2) * ({_LONG_Q[k]}) AS q FROM r WHERE n >= {2 * k}" for k in (10, 20))})
+    SELECT user_id, CAST(lags AS INT) AS lags, n, round(q, 5) + 0.0 AS q, round(CASE lags WHEN 10 THEN {_even_tail(10)} ELSE {_even_tail(20)} END, 8) + 0.0 AS p FROM q""",
+)
+def ljung_box_long(spark, sf_dir):
+    products = dep.lag_products(table(spark, sf_dir, "events"), EVENTS, 20)
+    made = [dep.ljung_box(products, EVENTS, k).withColumn("lags", F.lit(k)) for k in (10, 20)]
+    return prof.append(*made).select("user_id", "lags", "n", shown("q", 5).alias("q"), shown("p", 8).alias("p"))
+
+
 @query(
     "t5_significant_share",
     f"""WITH {ACF} SELECT count(*) AS tested, count(*) FILTER (WHERE q > 11.070497693516351) AS significant,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -126,34 +127,51 @@ def compare_distributions(df: DataFrame, columns: dict[str, str], digits: int =
     return joined.select("series", *[F.round(e, digits).alias(k) for k, e in shown.items()])
 
 
-def kde(df: DataFrame, column: str, points: int = 400, between: tuple[float, float] | None = None, grid: int = 65_536) -> DataFrame:
-    """Gaussian kernel density at equally spaced points, Scott bandwidth.
+#: Terms of the expansion of the kernel about a cell's middle, width of a cell and reach of the kernel in bandwidths.
+_TERMS, _CELL, _REACH = 18, 1.0, 8.5
+#: Most that a value's kernel is off by: 1.09 times the sum of 0.5^k / sqrt(k!) from the first term left out, and what lies beyond the reach.
+KERNEL_ERROR = 1e-13
 
-    Equal values are counted together first. With more than about ``grid`` distinct values they
-    are counted on that many cells of the value range (a cell stands at its mean), so the
-    number of kernel evaluations is about ``grid * points`` at most, whatever the table size.
+
+def kde(df: DataFrame, column: str, points: int = 400, between: tuple[float, float] | None = None) -> DataFrame:
+    """Gaussian kernel density at equally spaced points, Scott bandwidth; the same sums whatever the number of values.
+
+    Values are counted into cells one bandwidth wide by their powers about the cell's middle, from which Hermite functions give
+    the kernel sums at any point (a fast Gauss transform). A value's kernel is off by at most :data:`KERNEL_ERROR` of its peak. One
+    row of sums leaves a task for each cell it saw; a cell meets only the points within its kernel's reach.
     """
     x = missing_if_nan(column)
-    n, std, low, high, kinds = df.agg(F.count(x), F.stddev_samp(x), F.min(x), F.max(x), F.approx_count_distinct(x)).first()
+    n, std, low, high = df.agg(F.count(x), F.stddev_samp(x), F.min(x), F.max(x)).first()
     if n < 2 or not std:
         raise ValueError(f"{column} needs at least two different values")
     start, stop = between or (low, high)
     bandwidth = std * n ** (-1 / 5)
     step = (stop - start) / (points - 1)
-    if kinds <= grid:
-        mass = df.where(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    else:
-        cell = F.least(F.floor((x - F.lit(low)) / F.lit((high - low) / grid)), F.lit(grid - 1))
-        mass = df.where(x.isNotNull()).groupBy(cell.alias("_cell")).agg(
-            F.avg(x).alias("_v"), F.count(F.lit(1)).alias("_c")
-        )
+    width, unit = _CELL * bandwidth, bandwidth * 2**0.5
+    middle = lambda c: F.lit(low) + (c + 0.5) * F.lit(width)
+    places = df.where(x.isNotNull()).select(x.alias("_x"), F.floor((x - F.lit(low)) / F.lit(width)).alias("_cell"))
+    places = places.select("_cell", ((F.col("_x") - middle(F.col("_cell"))) / F.lit(unit)).alias("_s"))
+    powers = [F.sum(F.pow("_s", F.lit(float(k)))) / F.lit(float(math.factorial(k))) for k in range(_TERMS)]
+    cells = places.groupBy("_cell").agg(F.array(*powers).alias("_m")).withColumn("_c", middle(F.col("_cell")))
+    reach = (_REACH + _CELL / 2) * bandwidth
+    first = F.greatest(F.ceil((F.col("_c") - F.lit(reach + start)) / F.lit(step)), F.lit(0))
+    last = F.least(F.floor((F.col("_c") + F.lit(reach - start)) / F.lit(step)), F.lit(points - 1))
+    met = cells.where(first <= last).withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     at = F.lit(start) + F.col("point") * F.lit(step)
-    z = (at - F.col("_v")) / F.lit(bandwidth)
-    scale_by = F.lit(n * bandwidth * (2 * 3.141592653589793) ** 0.5)
+    met = met.select("point", "_m", ((at - F.col("_c")) / F.lit(unit)).alias("_u"))
+    # Hermite functions by their recurrence: the sum so far, the function of this order and the one before.
+    zero, begin = F.lit(0.0), F.exp(-F.col("_u") * F.col("_u"))
+    state = lambda total, now, before, k: F.struct(total.alias("t"), now.alias("h"), before.alias("b"), k.alias("k"))
+    sums = F.aggregate(
+        "_m", state(zero, begin, zero, zero),
+        lambda s, m: state(s["t"] + m * s["h"], 2 * F.col("_u") * s["h"] - 2 * s["k"] * s["b"], s["h"], s["k"] + 1),
+        lambda s: s["t"],
+    )
+    every = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"), zero.alias("_k"))
+    scale_by = F.lit(n * bandwidth * (2 * math.pi) ** 0.5)
     return (
-        mass.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy("point")
-        .agg((F.sum(F.col("_c") * F.exp(-0.5 * z * z)) / scale_by).alias("density"))
+        met.select("point", sums.alias("_k")).unionByName(every).groupBy("point")
+        .agg((F.sum("_k") / scale_by).alias("density"))
         .select("point", at.alias("x"), "density")
     )
 

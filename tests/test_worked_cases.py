@@ -66,7 +66,7 @@ def test_dependence(spark, limit):
 
 
 def test_chi_square_tail(spark):
-    assert spark.range(1).select(dep.chi2_5_tail(F.lit(11.0705)).alias("p")).first()["p"] == near(0.05, 4)
+    assert spark.range(1).select(dep.chi_square_tail(F.lit(11.0705), 5).alias("p")).first()["p"] == near(0.05, 4)
 
 
 def test_constant_series_is_tested_but_has_no_correlation(spark):
