@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapcast.functions.columns import missing_if_nan
+from lapcast.plans.ordered import arrange
 from lapcast.plans.skew import hot_keys, null_safe_join, split_hot
 from lapcast.session import block_rows, materialise, written
 
 _BINS = 1024
+#: A sketched order statistic is off by at most 1 / accuracy of the group's rows; brackets reach twice as far.
+ACCURACY = 10_000
 
 
 def exact_quantiles(
@@ -22,7 +25,8 @@ def exact_quantiles(
     ``at_most`` is a proven bound on the rows of any group; if it is small the groups are not counted.
 
     An ordinary group uses the built-in ``percentile``. That aggregate gathers all distinct
-    values of a group in one buffer, so over-full groups go to a bracket search instead.
+    values of a group in one buffer, so over-full groups take two scans instead: rank sketches
+    that bracket each order statistic, then exact counts below and within the brackets.
     """
     by = list(by)
     columns = [columns] if isinstance(columns, str) else list(columns)
@@ -36,7 +40,7 @@ def exact_quantiles(
         return out
     found = None
     for c in columns:
-        one = _bracket_search(heavy.select(*by, F.col(c).alias("_v")).where("_v IS NOT NULL"), by, probs, c)
+        one = _two_scans(heavy.select(*by, F.col(c).alias("_v")).where("_v IS NOT NULL"), by, probs, c)
         if found is None:
             found = one
         else:
@@ -44,6 +48,51 @@ def exact_quantiles(
     return out.unionByName(found) if by else found
 
 
+def _two_scans(values: DataFrame, by: list[str], probs: Sequence[float], name: str) -> DataFrame:
+    """Exact order statistics of over-full groups from two scans of their values.
+
+    The first merges a rank sketch of every task (``percentile_approx``, whose rank error is proven) and asks it two error
+    bounds below and above each wanted rank. The second counts, map-side combined, the values below each bracket and every
+    different value within, about 4 / accuracy of the rows; only those are sorted. A bracket that misses its rank, which the
+    bound excludes, is noticed by its counts and searched for by narrowing.
+    """
+    # A struct key also matches groups whose key is null.
+    values = written(values.select(F.struct(*by, F.lit(0).alias("_all")).alias("_g"), "_v"), "values")
+    reach = 2 / ACCURACY
+    low = F.array(*[F.lit(max(float(p) - reach, 0.0)) for p in probs])
+    high = F.array(*[F.lit(min(float(p) + reach, 1.0)) for p in probs])
+    sketch = values.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", low, ACCURACY).alias("_low"), F.percentile_approx("_v", high, ACCURACY).alias("_high"),
+    )
+    wanted = F.array(*[
+        F.struct(
+            F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_rank"),
+            (F.col("_min") if p <= reach else F.get("_low", F.lit(i))).alias("_lo"),
+            (F.col("_max") if p >= 1 - reach else F.get("_high", F.lit(i))).alias("_hi"),
+        )
+        for i, p in enumerate(probs)
+    ])
+    brackets = written(sketch.select("_g", F.inline(wanted)), "brackets")
+    # Hot groups times probabilities: bounded by the hot-key bound.
+    met = values.join(F.broadcast(brackets), "_g").where("_v <= _hi")
+    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    counted = written(met.groupBy("_g", "_i", "_rank", inside.alias("_in")).agg(F.count(F.lit(1)).alias("_c")), "counted")
+    placed = arrange(counted, ["_g", "_i"], ["_in"]).running("_upto", "sum", F.col("_c")).finish()
+    at = lambda rank: F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_in")))
+    found = placed.groupBy("_g", "_i", "_rank").agg(at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"))
+    share = F.col("_rank") - F.floor("_rank")
+    solved = found.select("_g", "_i", F.when(share == 0, F.col("_a")).otherwise(F.col("_a") + share * (F.col("_b") - F.col("_a"))).alias("_q"))
+    solved = written(solved, "solved")
+    gathered = solved.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_i", "_q"))).alias("_s"), F.count_if(F.col("_q").isNull()).alias("_missed"))
+    out = gathered.where("_missed = 0").select(*[F.col("_g")[k].alias(k) for k in by], F.col("_s._q").alias(name))
+    missed = gathered.where("_missed > 0").select("_g")
+    if missed.isEmpty():
+        return out
+    rest = values.join(F.broadcast(missed), "_g", "left_semi").select(*[F.col("_g")[k].alias(k) for k in by], "_v")
+    return out.unionByName(_bracket_search(rest, by, probs, name))
+
+
 def _bracket_search(values: DataFrame, by: list[str], probs: Sequence[float], name: str) -> DataFrame:
     """Narrow each wanted order statistic's value range by counting, until it holds one value.
 

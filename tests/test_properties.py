@@ -47,6 +47,26 @@ def test_bracket_search_equals_sorting(spark, tiny_limits, name, values):
     assert whole == pytest.approx(list(np.quantile([v for v in values if not math.isnan(v)], probs)), rel=1e-9, abs=1e-12)
 
 
+def test_overfull_groups_take_two_scans_and_a_wrong_bracket_is_noticed(spark, tiny_limits, monkeypatch):
+    import lapcast.functions.quantiles as quant
+
+    rng = random.Random(8)
+    values = [rng.gauss(0, 1) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(6)
+    probs = [0.01, 0.333, 0.5, 0.999]
+    tables, searched = [], []
+    write, search = quant.written, quant._bracket_search
+    monkeypatch.setattr(quant, "written", lambda d, name="table": tables.append(name) or write(d, name))
+    monkeypatch.setattr(quant, "_bracket_search", lambda *a: searched.append(1) or search(*a))
+    want = list(np.quantile(values, probs))
+    assert exact_quantiles(df, [], "v", probs).first()["v"] == pytest.approx(want, rel=1e-12)
+    # The values are written once and read twice: for the sketch and for the counts.
+    assert tables == ["values", "brackets", "counted", "solved"] and not searched
+    monkeypatch.setattr(quant.F, "percentile_approx", lambda v, p, a: F.transform(p, lambda x: x * 0.0 + 9.0))
+    assert exact_quantiles(df, [], "v", probs).first()["v"] == pytest.approx(want, rel=1e-12)
+    assert searched
+
+
 def test_rank_is_dense_and_ordered(spark, tiny_limits):
     df = spark.range(500).select((F.col("id") % 3 == 0).alias("k"), F.hash("id").alias("o"), "id")
     rows = ranked(df, ["k"], ["o", "id"], "r").collect()
