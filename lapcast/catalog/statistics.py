@@ -12,6 +12,7 @@ from lapcast.operators import dependence as dep
 from lapcast.operators import filters as flt
 from lapcast.operators import profile as prof
 from lapcast.plans.bands import empirical_bands
+from lapcast.roles import Roles
 from lapcast.session import written
 
 # Bins of rows per entity and of series lengths.
@@ -215,6 +216,24 @@ def autocorrelation(spark, sf_dir):
     return made.select("user_id", "event_type", "lag", shown("acf").alias("acf"))
 
 
+_KIND = Roles("event_type", ("event_type",), "ts", ("event_id",), "value")
+
+
+@query(
+    "t1_long_autocorrelation",
+    """WITH d AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS d, count(*) OVER (PARTITION BY event_type) AS n,
+      row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM events),
+    v AS (SELECT event_type, sum(d * d) AS v FROM d GROUP BY event_type),
+    k AS (SELECT unnest(range(0, 501)) AS k)
+    SELECT a.event_type, CAST(k AS INT) AS lag, round(sum(a.d * b.d) / any_value(v), 8) + 0.0 AS acf
+    FROM d a JOIN k ON k <= n // 2 - 1 JOIN d b ON b.event_type = a.event_type AND b.p = a.p + k JOIN v ON v.event_type = a.event_type GROUP BY a.event_type, k""",
+)
+def long_autocorrelation(spark, sf_dir):
+    """500 lags of few, long series."""
+    products = dep.long_lag_products(table(spark, sf_dir, "events"), _KIND, 500)
+    return dep.acf(products, _KIND, 500).select("event_type", "lag", shown("acf", 8).alias("acf"))
+
+
 def _pacf_sql(max_lag: int = 10) -> str:
     """Levinson-Durbin unrolled: phi_k_j for every order k."""
     g = ", ".join(f"p{k} / (n - {k}) AS g{k}" for k in range(max_lag + 1))

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapcast.operators.profile import histogram
-from lapcast.plans.ordered import blocks
+from lapcast.plans.ordered import arrange, blocks
 from lapcast.plans.skew import hot_keys, null_safe_join
 from lapcast.roles import Roles
+from lapcast.session import broadcast_rows
 
 
 def lag_products(df: DataFrame, roles: Roles, max_lag: int = 10) -> DataFrame:
@@ -34,6 +38,41 @@ def lag_products(df: DataFrame, roles: Roles, max_lag: int = 10) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("products"))
 
 
+def long_lag_products(df: DataFrame, roles: Roles, max_lag: int, block: int = 4096) -> DataFrame:
+    """The table of :func:`lag_products` for hundreds or thousands of lags.
+
+    Every series is numbered and cut into blocks of ``block`` rows (at least ``max_lag``) that borrow the next ``max_lag`` rows; a block's
+    sums for all lags are one correlation by Fourier transform, so the cost per row grows with the logarithm of the block and
+    not with the number of lags. Blocks are added up per series and lag. A task holds one block at a time, whatever the series' length.
+    """
+    keys, size = roles.keys, max(block, max_lag)
+    slim = df.select(*keys, *[c for c in roles.order if c not in keys], F.col(roles.value).cast("double").alias("_x"))
+    about = slim.groupBy(*keys).agg(F.avg("_x").alias("_mean"), F.count(F.lit(1)).alias("n")).persist()
+    small = about.limit(broadcast_rows(df.sparkSession) + 1).count() <= broadcast_rows(df.sparkSession)
+    centred = null_safe_join(slim, F.broadcast(about) if small else about, keys).withColumn("_d", F.coalesce(F.col("_x") - F.col("_mean"), F.lit(0.0)))
+    placed = arrange(centred, keys, roles.order).running("_p", "sum", F.lit(1).cast("long")).finish().withColumn("_p", F.col("_p") - 1)
+    number, inside = F.floor(F.col("_p") / size), F.col("_p") % size
+    homes = F.array(number, F.when((inside < max_lag) & (number > 0), number - 1))
+    dealt = placed.select(*keys, F.explode(F.array_compact(homes)).alias("_b"), "_p", "_d")
+    schema = T.StructType([*[slim.schema[k] for k in keys], T.StructField("_s", T.ArrayType(T.DoubleType()))])
+
+    def correlate(table: pa.Table) -> pa.Table:
+        place, values = table.column("_p").to_numpy(), table.column("_d").to_numpy()
+        values = values[np.argsort(place)]
+        head = min(size, len(values)) if place.min() % size == 0 else 0
+        length = 1 << int(np.ceil(np.log2(len(values) + max_lag + 1)))
+        first = np.fft.rfft(values[:head], length)
+        sums = np.fft.irfft(np.conj(first) * np.fft.rfft(values, length), length)[: max_lag + 1]
+        named = {k: table.column(k).slice(0, 1) for k in keys}
+        return pa.table({**named, "_s": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+
+    sums = dealt.groupBy(*keys, "_b").applyInArrow(correlate, schema)
+    lags = sums.select(*keys, F.posexplode("_s").alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v"))
+    each = lags.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_s"))
+    joined = null_safe_join(each, about.select(*keys, "n"), keys)
+    return joined.select(*keys, "n", F.col("_s._v").alias("products"))
+
+
 def _allowed(max_lag: int) -> Column:
     return F.least(F.lit(max_lag), F.floor(F.col("n") / 2) - 1).cast("int")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapcast.functions.columns import unit_hash
@@ -19,17 +20,39 @@ def _by_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_u", unit_hash(seed, key))
 
 
+def bottom_k(hashed: DataFrame, strata: Sequence[str], key: str, k: int) -> DataFrame:
+    """The ``k`` different keys with the smallest hash ``_u`` of every stratum, each once.
+
+    Every task first keeps only its own ``k`` smallest of each stratum, so at most k x strata x tasks rows are shuffled, however many
+    rows and keys there are. Ties of the hash go to the smaller key. Null keys take no part.
+    """
+    strata = list(strata)
+    slim = hashed.select(*strata, "_u", key).where(F.col(key).isNotNull())
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = (batch if held is None else pd.concat([held, batch])).drop_duplicates([*strata, key]).sort_values(["_u", key], kind="stable")
+            held = rows.groupby(strata, sort=False, dropna=False).head(k) if strata else rows.head(k)
+        if held is not None:
+            yield held
+
+    # The second round is one row a key and stratum again, from every task's smallest.
+    few = slim.mapInPandas(smallest, slim.schema).distinct()
+    order = Window.partitionBy(*strata).orderBy("_u", key)
+    return few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+
+
 def sample_entities(df: DataFrame, key: str, seed: int = 42, n: int | None = None, fraction: float | None = None) -> DataFrame:
     """All rows of ``n`` entities, or of about a ``fraction`` of them (no shuffle at all)."""
     if (n is None) == (fraction is None):
         raise ValueError("give either n or fraction")
     if fraction is not None:
         return df.where(unit_hash(seed, key) < fraction)
-    entities = _by_hash(df, key, seed)
     if n <= broadcast_rows(df.sparkSession):
-        chosen = entities.orderBy("_u", key).limit(n)
+        chosen = bottom_k(df.select(key, unit_hash(seed, key).alias("_u")), [], key, n)
     else:
-        chosen = ranked(entities, [], ["_u", key], "_r").where(F.col("_r") <= n)
+        chosen = ranked(_by_hash(df, key, seed), [], ["_u", key], "_r").where(F.col("_r") <= n)
     return keep_members(df, chosen, [key])
 
 
@@ -88,8 +111,12 @@ def stratified_entities(
     hashed = firsts.withColumn("_u", unit_hash(seed, roles.entity))
     if not total or smallest < 2 or n < kinds or total - n < kinds:
         return ranked(hashed, [], ["_u", roles.entity], "_r").where(F.col("_r") <= n).drop("_u", "_r")
-    placed = ranked(hashed, ["stratum"], ["_u", roles.entity], "_r")
     quotas = stratum_quotas(strata, n).select("stratum", "quota")
+    largest = quotas.agg(F.max("quota")).first()[0]
+    if largest <= broadcast_rows(df.sparkSession):
+        placed = bottom_k(hashed, ["stratum"], roles.entity, largest)
+    else:
+        placed = ranked(hashed, ["stratum"], ["_u", roles.entity], "_r")
     return lookup_join(placed, quotas, ["stratum"]).where("_r <= quota").select(roles.entity, "stratum")
 
 
@@ -102,7 +129,5 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42, key: Sequence[st
 
 def last_n(df: DataFrame, roles: Roles, n: int) -> DataFrame:
     """The last ``n`` rows of every series (Spark limits each map task to n per series first)."""
-    from pyspark.sql import Window
-
     newest = Window.partitionBy(*roles.keys).orderBy(*[F.col(c).desc() for c in roles.order])
     return df.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")
