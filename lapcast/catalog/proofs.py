@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapcast.catalog.forecasts import SPACE, feature_windows
 from lapcast.catalog.registry import EVENTS, query, shown, table
@@ -16,7 +17,8 @@ from lapcast.operators.pinball import fit_exact
 from lapcast.operators.sampling import split_entities
 from lapcast.operators.tuning import search_together
 from lapcast.session import fresh_path, written
-from lapcast.sources import snapshots
+from lapcast.sources import json_arrays, readers, snapshots
+from lapcast.schema import IMPORTED_RACE
 from lapcast.streaming import live, sessions
 
 # ---- quantile regression at its true minimum ------------------------------------------------------
@@ -172,3 +174,60 @@ def after_failed_writer(spark, sf_dir):
         for name in ("items", "orders")
     ]
     return parts[0].unionByName(parts[1])
+
+
+# ---- exported histories as files ----------------------------------------------------------------------
+
+_HISTORY = T.StructType([T.StructField("nageur_id", T.LongType()), *IMPORTED_RACE.fields])
+
+
+def exported_histories(spark, sf_dir) -> str:
+    """A folder of JSON arrays, one a customer, as an export could leave them: some elements are no JSON, some arrays have no end."""
+    race = F.struct(
+        F.col("o_custkey").alias("nageur_id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("nage"),
+        (F.col("o_orderkey") % 3 * 50 + 50).alias("distance"), F.lit(50).alias("bassin"), F.round("o_totalprice", 2).alias("temps"),
+    )
+    element = F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit('{"nage": none of this, "temps": '), F.col("o_orderkey"), F.lit("}"))).otherwise(F.to_json(race))
+    arrays = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(element), ",\n").alias("e"))
+    end = F.when(F.col("o_custkey") % 40 == 0, F.lit("")).otherwise(F.lit("]"))
+    path = fresh_path(spark, "histories")
+    arrays.select(F.concat(F.lit("["), "e", end).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "s3_history_files",
+    """WITH p AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex,
+                    DATE '1990-01-31' + CAST(c_custkey AS INT) AS birth FROM customer)
+    SELECT o_custkey AS nageur_id, o_orderpriority AS perf_nage, p.sex AS nageur_sexe,
+           CAST(o_orderkey % 3 * 50 + 50 AS INT) AS perf_distance, 50 AS perf_bassin,
+           CAST(month(o_orderdate) - 1 AS INT) AS mois_saison,
+           CAST(greatest((year(o_orderdate) - year(birth)) * 12 + month(o_orderdate) - month(birth), 0) AS INT) AS nageur_age_mois,
+           round(o_totalprice, 2) + 0.0 AS perf_temps_sec, CAST(o_orderdate AS DATE) AS date
+    FROM orders JOIN p ON o_custkey = c_custkey WHERE o_orderkey % 97 <> 0""",
+)
+def history_files(spark, sf_dir):
+    """The histories of all customers, read from their files and joined with the profiles."""
+    races = json_arrays.read_histories(spark, exported_histories(spark, sf_dir), _HISTORY).where("_bad_row IS NULL")
+    profiles = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("nageur_id"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("nageur_sexe"),
+        F.date_add(F.lit("1990-01-31").cast("date"), F.col("c_custkey").cast("int")).alias("nageur_date_naissance"),
+    )
+    return readers.import_history(races, profiles)
+
+
+@query(
+    "s3_broken_rows",
+    """SELECT count(*) FILTER (WHERE o_orderkey % 97 <> 0) AS races, count(*) FILTER (WHERE o_orderkey % 97 = 0) AS no_json,
+      count(DISTINCT o_custkey) FILTER (WHERE o_custkey % 40 = 0) AS no_end FROM orders""",
+)
+def broken_rows(spark, sf_dir):
+    """The same files as a stream: races, elements that are no JSON, arrays without an end."""
+    source, out, checkpoint = exported_histories(spark, sf_dir), fresh_path(spark, "imported"), fresh_path(spark, "imported-checkpoint")
+    rows = json_arrays.stream_histories(spark, source, _HISTORY)
+    live.score_stream(rows, lambda batch: batch, out, checkpoint).awaitTermination()
+    bad = F.col("_bad_row")
+    return live.read_stream_output(spark, out).agg(
+        F.count_if(bad.isNull()).alias("races"), F.count_if(bad.startswith("{")).alias("no_json"), F.count_if(bad == "array without an end").alias("no_end")
+    )
