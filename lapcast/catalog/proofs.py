@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapcast.catalog.forecasts import SPACE, feature_windows
-from lapcast.catalog.registry import EVENTS, query, shown, table
+from lapcast.catalog.forecasts import SPACE, feature_windows, trailing_spread
+from lapcast.catalog.registry import EVENTS, query, shown, table, unit_sql
 from lapcast.catalog.sequences import ids
+from lapcast.operators import attribution as attr
 from lapcast.operators import forecast as fc
 from lapcast.operators import runs
 from lapcast.operators import windows as win
@@ -231,3 +233,60 @@ def broken_rows(spark, sf_dir):
     return live.read_stream_output(spark, out).agg(
         F.count_if(bad.isNull()).alias("races"), F.count_if(bad.startswith("{")).alias("no_json"), F.count_if(bad == "array without an end").alias("no_end")
     )
+
+
+# ---- attributions of a user's model -------------------------------------------------------------------
+
+BACKGROUND = 16
+
+_ATTRIBUTED = f"""win AS (SELECT * FROM (SELECT user_id, ts AS origin_ts, event_id, list(value) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS past, lead(value, 3) OVER w AS t3
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE len(past) = 20 AND t3 IS NOT NULL),
+    base AS (SELECT past FROM win ORDER BY {unit_sql(42, "event_id")}, event_id LIMIT {BACKGROUND})"""
+
+
+def user_windows(spark, sf_dir):
+    """Windows with the id of their last event, and the background windows."""
+    made = win.windows(table(spark, sf_dir, "events"), EVENTS, ["value"], length=20, horizon=3, carry=["event_id"])
+    return made, attr.background(made, ["event_id"], BACKGROUND)
+
+
+@query(
+    "m6_user_model_attributions",
+    f"""WITH {_ATTRIBUTED}, q(quantile) AS (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)),
+    f AS (SELECT user_id, event_id, quantile, CASE quantile WHEN 0.1 THEN list_aggregate(past, 'quantile_cont', 0.1) WHEN 0.5 THEN list_aggregate(past, 'quantile_cont', 0.5)
+      ELSE list_aggregate(past, 'quantile_cont', 0.9) END AS y FROM win, q),
+    b AS (SELECT quantile, avg(CASE quantile WHEN 0.1 THEN list_aggregate(past, 'quantile_cont', 0.1) WHEN 0.5 THEN list_aggregate(past, 'quantile_cont', 0.5)
+      ELSE list_aggregate(past, 'quantile_cont', 0.9) END) AS y FROM base, q GROUP BY quantile)
+    SELECT user_id, event_id, quantile, 4 AS features, round(f.y - b.y, 8) + 0.0 AS change FROM f JOIN b USING (quantile)""",
+)
+def user_model_attributions(spark, sf_dir):
+    """Every window's shares of four runs of past rows add up to its forecast's change from the background's mean forecast."""
+    made, against = user_windows(spark, sf_dir)
+    rows = attr.attributions(made, trailing_spread, attr.by_position(["value"], 20, 5), against, ["user_id", "event_id"], pairs=BACKGROUND // 2)
+    first = rows.where("horizon = 1").groupBy("user_id", "event_id", "quantile")
+    return first.agg(F.count(F.lit(1)).cast("int").alias("features"), shown(F.sum("share"), 8).alias("change"))
+
+
+def fading_mean():
+    """A small linear user model: a weighted mean that fades into the past, the same for all quantiles and horizons."""
+
+    def run(batch):
+        past = np.array([[r["value"] for r in rows] for rows in batch["past"]], dtype=float)
+        weights = np.arange(1, past.shape[1] + 1) / 210
+        return np.repeat((past @ weights)[:, None], 9, axis=1)
+
+    return run
+
+
+@query(
+    "m7_user_model_positions",
+    f"""WITH {_ATTRIBUTED}, p AS (SELECT unnest(range(1, 21)) AS i), m AS (SELECT i, avg(past[i]) AS y FROM base, p GROUP BY i),
+    a AS (SELECT i, avg(abs(i / 210.0 * (past[i] - m.y))) AS a FROM win, m GROUP BY i)
+    SELECT CAST(i AS INT) AS position, round(a / (sum(a) OVER () + 1e-8), 6) + 0.0 AS share FROM a""",
+)
+def user_model_positions(spark, sf_dir):
+    """Mean share of each of twenty past rows; for a linear model sampled shares equal the closed form."""
+    made, against = user_windows(spark, sf_dir)
+    rows = attr.attributions(made, fading_mean, attr.by_position(["value"], 20), against, ["event_id"], pairs=BACKGROUND // 2)
+    shares = attr.mean_shares(rows.where("horizon = 1 AND quantile = 0.5"))
+    return shares.select(F.col("feature").cast("int").alias("position"), shown("share").alias("share"))
