@@ -363,3 +363,30 @@ def test_lines_of_a_rare_word_meet_once_each():
             if x["token"] == y["token"] and place[0] < place[1] and 180 * unlike <= 20 * total and 100 * small >= 80 * (total - small) and 180 * bound >= 80 * total and prefix:
                 told.append((*place[0], *place[1]))
     assert found == sorted(told) and told
+
+
+@pytest.mark.parametrize("tag", ["<div>", "<b>", "<table><tr><td>", '<div class="a b">x'])
+def test_ten_thousand_nested_elements(tag):
+    page = f"<html><body><article>{tag * 10_000}text"
+    assert wrapper.main_text(page).endswith("text")
+    assert wrapper.blocks_of(wrapper.parsed(page))[-1][1].endswith("text")
+    assert wrapper.induced([page, page, page])[1] == []
+    slot, _ = wrapper.induced([f"<body>{tag * 200}page {i}" for i in range(4)])
+    assert slot.startswith("/body")
+
+
+def test_class_words_drop_only_whole_marks():
+    kept = '<p>a</p><div class="image social-history">b</div><div id="ad-hoc">c</div><div class="bannerman">d</div>'
+    gone = '<div class="ad-slot">x</div><div class="site-footer">x</div><ul id="comment_list"><li>x</ul><div class="big ad">x</div>'
+    assert wrapper.main_text(f"<article>{kept}{gone}</article>") == "a\nb\nc\nd"
+
+
+def test_the_wrapper_removes_what_all_pages_repeat_inside_the_article(spark):
+    """The notice stands in every article of the host, without any telling class; an independent rule: text seen on all pages goes."""
+    page = "<html><body><nav>home</nav><article><h1>Title {i}</h1><p>Read our terms before you go on.</p><p>Words of page {i}.</p><p>More {j}.</p></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, j=i * i + 100)) for i in range(12)] + [(99, "http://other.example/", page.format(i=99, j=0))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["id"]: r["text"] for r in wrapper.main_texts(df).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nWords of page {i}.\nMore {i * i + 100}."
+    assert "Read our terms" in got[99]
