@@ -14,9 +14,9 @@ import time
 from pyspark.sql import functions as F
 
 from lapcast.catalog import QUERIES
-from lapcast.catalog import forecasts, preparation
+from lapcast.catalog import forecasts, preparation, proofs
 from lapcast.catalog.registry import BY_TYPE, EVENTS, ITEMS, performances, table
-from lapcast.operators import dependence, forecast, runs
+from lapcast.operators import dependence, forecast, pinball, runs
 from lapcast.operators.evaluate import evaluate
 from lapcast.operators.windows import windows
 from lapcast.plans.bands import band_report, empirical_bands
@@ -61,6 +61,10 @@ def main() -> None:
         "early_stop": lambda: done(runs.early_stop(forecasts.curves(spark, sf), 7, 1e-4)),
         "median_stop": lambda: done(runs.median_stop(forecasts.curves(spark, sf))),
         "live_windows": lambda: done(QUERIES["r1_live_windows"](spark, sf)),
+        "exact_fit_pass": lambda: pinball.fit_exact(made, names, tolerance=1e-5, passes=5),
+        "search_30_settings_scan": lambda: proofs.searched(spark, sf, 30, 1),
+        "density_of_prices": lambda: done(QUERIES["a13_density_of_prices"](spark, sf)),
+        "long_lags_500": lambda: done(QUERIES["t1_long_autocorrelation"](spark, sf)),
     }
     chosen = sys.argv[1:] or list(cases)
     seconds = {}

@@ -151,7 +151,7 @@ def _pass(table: DataFrame, fits: list[_Fit], scale: QuantileModel) -> tuple[np.
         .agg(F.array(*[F.sum(F.get("g", F.lit(c))) for c in range(width)]).alias("g"), F.max("m").alias("m"))
     )
     out, over = np.zeros((k * (p + 2), width)), np.zeros(k * (p + 2))
-    for row in added.toLocalIterator():
+    for row in added.collect():
         out[row["i"]], over[row["i"]] = row["g"], row["m"]
     out = out.reshape(k, p + 2, width)
     return out[:, p + 1, :_SCALARS], over.reshape(k, p + 2)[:, 0], out[:, : p + 1, : p + 4]

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapcast.operators.forecast import _matrix, _moments
-from lapcast.operators.runs import median_stop
 from lapcast.schema import QUANTILES
 
 #: What a scan adds up over the validation rows of a candidate: rows, three pinball losses, rows inside the band, interval score.
@@ -77,7 +76,7 @@ def _scan(table: DataFrame, going: list[Candidate], p: int, h: int, levels: np.n
 
     added = table.select("x", "target", "train").mapInArrow(partial, "i int, g array<double>").groupBy("i")
     out = np.zeros((c * h * q * (p + 1) + c, width))
-    for row in added.agg(F.array(*[F.sum(F.get("g", F.lit(w))) for w in range(width)]).alias("g")).toLocalIterator():
+    for row in added.agg(F.array(*[F.sum(F.get("g", F.lit(w))) for w in range(width)]).alias("g")).collect():
         out[row["i"]] = row["g"]
     return out[:-c].reshape(c, h, q, p + 1, width), out[-c:, :_SCORES]
 
@@ -112,6 +111,19 @@ def _figures(sums: np.ndarray, unit: float) -> tuple[float, ...]:
     return sums[1:4].sum() / 3 / n * unit, inside * 100, winkler, winkler / 10 + 20 * abs(inside - 0.8)
 
 
+def _to_stop(curves: list[tuple], trials: list[int], epoch: int, startup: int) -> set[int]:
+    """The verdict of :func:`lapcast.operators.runs.median_stop` on pinball losses at one epoch: trials x epochs numbers, so it is given here."""
+    losses = {t: {} for t in trials}
+    for trial, at, loss, *_ in curves:
+        losses[trial][at] = loss
+    stop = set()
+    for i, trial in enumerate(trials):
+        earlier = [losses[t][epoch] for t in trials[:i] if epoch in losses[t]]
+        if i >= startup and epoch in losses[trial] and earlier and min(losses[trial].values()) > np.median(earlier):
+            stop.add(trial)
+    return stop
+
+
 def search_together(
     table: DataFrame,
     features: Sequence[str],
@@ -127,7 +139,7 @@ def search_together(
 
     ``table`` has ``x``, ``target`` and ``train``; rows that are not for training are scored. ``uses`` names the features of a
     candidate. Every round is one scan for all candidates, which also scores the coefficients of the round before; after it
-    candidates that :func:`median_stop` tells to stop by their pinball loss (in trial order, after ``startup`` trials and ``warmup``
+    candidates that ``median_stop`` tells to stop by their pinball loss (in trial order, after ``startup`` trials and ``warmup``
     rounds) take part no longer. So ``rounds`` + 2 scans in all, however many candidates. A candidate's coefficients are those it
     would get alone. The best candidate is one that was not stopped; ties go to the first trial.
     """
@@ -152,9 +164,8 @@ def search_together(
         gram, scores = _scan(table, going, p, h, levels, (mean, std, centre, spread))
         if scan:
             curves += [(c.trial, scan, *(float(v) for v in _figures(s, unit * spread))) for c, s in zip(going, scores)]
-            if scan > warmup and len(settings) > startup and scan < rounds:
-                told = median_stop(spark.createDataFrame(curves, schema), startup, warmup, "trial", "pinball")
-                stop = {r["trial"] for r in told.where(F.col("stop") & (F.col("epoch") == scan)).select("trial").toLocalIterator()}
+            if scan > warmup and scan < rounds:
+                stop = _to_stop(curves, [c.trial for c in candidates], scan, startup)
                 for c in going:
                     c.going = c.trial not in stop
         if scan < rounds:

@@ -126,6 +126,8 @@ def test_candidates_together_equal_single_fits_and_stop_as_told(spark, sf):
             earlier = [curves[t, epoch]["pinball"] for t in range(trial) if (t, epoch) in curves]
             worse = trial >= 5 and bool(earlier) and best > np.median(earlier)
             assert worse == (r["stopped"] and epoch == r["epochs"]) or epoch == 3
+    told = runs.median_stop(together.curves, 5, 1, "trial", "pinball").where("stop AND epoch < 3").collect()
+    assert {(r["trial"], r["epoch"]) for r in told} == {(t, r["epochs"]) for t, r in scores.items() if r["stopped"]}
     left = [r for r in scores.values() if not r["stopped"]]
     assert together.best["trial"] == min(left, key=lambda r: (r["penalised_score"], r["trial"]))["trial"]
 
