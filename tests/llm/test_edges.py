@@ -371,7 +371,7 @@ def test_ten_thousand_nested_elements(tag):
     assert wrapper.main_text(page).endswith("text")
     assert wrapper.blocks_of(wrapper.parsed(page))[-1][1].endswith("text")
     wrapper.induced([page, page, page])
-    slot, _ = wrapper.induced([f"<body>{tag * 200}page {i}" for i in range(4)])
+    slot, _ = wrapper.induced([f"<body>{tag * 100}page {i}" for i in range(4)])
     assert slot.startswith("/body")
 
 
