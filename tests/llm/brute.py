@@ -166,28 +166,31 @@ def held_out(doc):
 class Katz:
     """The backoff model over dictionaries."""
 
-    def __init__(self, docs, size=1 << 20, top=5):
+    def __init__(self, docs, top=5):
         train = [words(t) + [None] for d, t in docs if not held_out(d)]
         self.c = Counter(w for t in train for w in t)
         self.n, self.v, self.top = sum(self.c.values()), len(self.c), top
-        least = max(2, -(-self.n // size))
-        self.lexicon = {w for w, c in self.c.items() if c >= least and w is not None}
-        singles = sum(c == 1 for w, c in self.c.items() if w is not None)
-        self.singles = max(singles, 1)
-        self.rare = sum(c for w, c in self.c.items() if w is not None and w not in self.lexicon)
-        classes = {w: self.c[w] for w in self.lexicon} | {"<rare>": max(self.rare, 1), None: max(len(train), 1)}
-        total = sum(classes.values())
-        self.p1 = {w: c / total for w, c in classes.items()}
-        pairs = Counter()
+        self.d1 = self.discounts(self.numbers(self.c.values()))
+        self.mass1 = sum(self.cut(self.d1, c) for c in self.c.values())
+        self.whole1 = self.n + (not any(c <= top for c in self.c.values()))
+        self.follow = defaultdict(Counter)
         for t in train:
-            k = ["<start>", *map(self.cls, t)]
-            pairs.update(zip(k, k[1:]))
-        self.pairs = pairs
-        self.follow = defaultdict(dict)
-        for (a, b), c in pairs.items():
-            self.follow[a][b] = c
-        n = [sum(c == r for c in pairs.values()) for r in range(1, top + 2)]
-        self.d = self.discounts(n)
+            for a, b in zip(["<start>", *t], t):
+                self.follow[a][b] += 1
+        self.d = self.discounts(self.numbers(c for f in self.follow.values() for c in f.values()))
+
+    def numbers(self, counts):
+        seen = Counter(counts)
+        return [seen[r] for r in range(1, self.top + 2)]
+
+    def cut(self, d, c):
+        return c * (d[c - 1] if c <= self.top else 1)
+
+    def p1(self, w):
+        """The word model: V + 1 words never seen share what discounting leaves."""
+        if self.c[w]:
+            return self.cut(self.d1, self.c[w]) / self.whole1
+        return (1 - self.mass1 / self.whole1) / (max(self.v, 1) + 1)
 
     def discounts(self, n):
         top = self.top
@@ -201,30 +204,18 @@ class Katz:
         mean = (n[0] + 0.5) / (n[0] + 2 * n[1] + 1)
         return [1 - mean / r for r in range(1, top + 1)]
 
-    def cls(self, w):
-        return w if w is None or w in self.lexicon else "<rare>"
-
     def p(self, a, b):
-        seen = self.follow.get(a, {})
+        seen = self.follow.get(a)
         if not seen:
-            return self.p1[b]
-        cut = lambda c: c * (self.d[c - 1] if c <= self.top else 1)
-        total, mass = sum(seen.values()), sum(map(cut, seen.values()))
-        whole = total if mass < total - 1e-9 * max(total, 1) else total + 1
-        rest = 1 - sum(self.p1[w] for w in seen)
-        if rest < 1e-12:
-            whole = mass
+            return self.p1(b)
+        whole = sum(seen.values()) + (not any(c <= self.top for c in seen.values()))
         if b in seen:
-            return cut(seen[b]) / whole
-        return (1 - mass / whole) * self.p1[b] / rest
+            return self.cut(self.d, seen[b]) / whole
+        mass = sum(self.cut(self.d, c) for c in seen.values())
+        return (1 - mass / whole) * self.p1(b) / (1 - sum(self.p1(w) for w in seen))
 
     def scores(self, text):
         t = words(text) + [None]
         base = sum(math.log10((self.c[w] + 1) / (self.n + self.v + 1)) for w in t)
-        k = ["<start>", *map(self.cls, t)]
-        score = sum(math.log10(self.p(a, b)) for a, b in zip(k, k[1:]))
-        mass = self.rare + self.singles
-        for w in t:
-            if self.cls(w) == "<rare>":
-                score += math.log10((self.c[w] or self.singles / (self.v + 1)) / mass)
+        score = sum(math.log10(self.p(a, b)) for a, b in zip(["<start>", *t], t))
         return len(t), sum(self.c[w] > 0 for w in t), base, score

@@ -101,18 +101,23 @@ def test_katz(spark, sf, docs):
         assert (g["n_tokens"], g["n_known"], g["train_tokens"], g["held_out"]) == (n, known, model.n, brute.held_out(d))
         assert g["base_score"] == pytest.approx(base, rel=1e-9)
         assert g["score"] == pytest.approx(score, rel=1e-9)
-    for a in ["<start>", "<rare>", *list(model.lexicon)[:30]]:
-        assert sum(model.p(a, b) for b in model.p1) == pytest.approx(1, abs=1e-9)
+    for a in ["<start>", *list(model.follow)[:30], "never seen"]:
+        known = sum(model.p(a, b) for b in model.c)
+        assert known + (model.v + 1) * model.p(a, "never seen") == pytest.approx(1, abs=1e-9)
     out = [g for g in got.values() if g["held_out"]]
     assert sum(g["score"] for g in out) > sum(g["base_score"] for g in out)
 
 
-def test_katz_with_hot_pairs_and_small_parts(spark, sf, docs, monkeypatch):
+@pytest.mark.parametrize("frequent", [1, 400, 1 << 20])
+def test_katz_with_hot_pairs_and_small_parts(spark, sf, docs, monkeypatch, frequent):
     monkeypatch.setattr(katz, "HOT_PAIR", 60)
-    model = brute.Katz([(d, r["text"]) for d, r in docs.items()], size=400)
-    found = katz.katz_scores(table(spark, sf, "documents"), lexicon_size=400, part_tokens=3000).collect()
+    model = brute.Katz([(d, r["text"]) for d, r in docs.items()])
+    found = katz.katz_scores(table(spark, sf, "documents"), frequent=frequent, part_tokens=3000).collect()
+    assert len(found) == len(docs)
     for g in found:
-        assert g["score"] == pytest.approx(model.scores(docs[g["id"]]["text"])[3], rel=1e-9)
+        n, known, base, score = model.scores(docs[g["id"]]["text"])
+        assert (g["n_tokens"], g["n_known"]) == (n, known)
+        assert (g["base_score"], g["score"]) == (pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9))
 
 
 def test_private_data(spark, sf, docs):

@@ -177,14 +177,28 @@ def test_katz_of_edges(edges):
         assert any(r["score"] == pytest.approx(model.scores(t)[3], rel=1e-8) for t in texts)
 
 
-def test_katz_keeps_words_of_two_occurrences_in_a_larger_corpus(spark):
+def test_katz_keeps_seldom_words_of_a_larger_corpus(spark):
     often = "and so it goes on " * 30_000
     docs = [(d, often) for d in range(24)] + [(100 + d, "seldom seen words stand here") for d in range(2)]
-    assert not any(brute.held_out(d) for d in (100, 101))
-    model = brute.Katz(docs, size=1 << 62)
-    assert model.n > 2 << 20 and "seldom" in model.lexicon
+    docs += [(102, "one word stands once"), (103, None)]
+    held = next(d for d in range(200, 300) if brute.held_out(d))
+    docs.append((held, "seldom goes on once here word never " + "unheard " * 40_000))
+    assert not any(brute.held_out(d) for d in (100, 101, 102))
+    model = brute.Katz(docs)
+    assert model.n > 2 << 20 and model.c["seldom"] == 2 and not model.c["unheard"]
     got = {r["id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got[100] == pytest.approx(model.scores(docs[-1][1])[3], rel=1e-9)
+    for d, text in docs[-5:]:
+        assert got[d] == pytest.approx(model.scores(text)[3], rel=1e-9)
+
+
+def test_katz_backs_off_exactly_where_nothing_is_discounted(spark):
+    docs = [(d, "all words here stand " * 9) for d in range(12)]
+    docs += [(d, "all here words stand unseen all unseen") for d in range(400, 440) if brute.held_out(d)]
+    model = brute.Katz(docs)
+    assert min(model.c.values()) > 5 and any(min(f.values()) > 5 for f in model.follow.values())
+    for frequent in (1, 1 << 20):
+        for r in katz.katz_scores(spark.createDataFrame(docs, "doc_id long, text string"), frequent=frequent).collect():
+            assert r["score"] == pytest.approx(model.scores(dict(docs)[r["id"]])[3], rel=1e-9)
 
 
 def test_private_spans_of_edges(edges):
