@@ -214,6 +214,16 @@ def _is_hot(before: np.ndarray, token: np.ndarray, hot: np.ndarray) -> np.ndarra
     return (before < _WORD) & (token < _WORD) & (hot[np.minimum(np.searchsorted(hot, pair), len(hot) - 1)] == pair)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: small numbers compress well so."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).reshape(-1)
+
+
 _RUN = "part int, names binary, train binary, text binary, x binary, y binary, z binary, seldom binary"
 
 
@@ -236,7 +246,7 @@ def _runs(texts: DataFrame, lexicon: Lexicon, hot: np.ndarray, parts: int) -> Da
             before, token, text = t.before[~often], t.token[~often], t.text[~often]
             spread = np.where(before < _WORD, lexicon.spread[np.where(before < _WORD, before, np.uint64(0)).astype(np.int64)], np.uint64(1))
             part = (mixed(mixed(before) ^ mixed(token) % spread) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((before, part))
+            order = np.lexsort((token, before, part))
             before, token, text, part = before[order], token[order], text[order], part[order]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             for lo, hi in zip(cuts, [*cuts[1:], len(part)], strict=True):
@@ -248,8 +258,8 @@ def _runs(texts: DataFrame, lexicon: Lexicon, hot: np.ndarray, parts: int) -> Da
                 codes = both.astype("<u4")
                 codes[far] = at + classes
                 out.append((
-                    int(part[lo]), t.names[mine].tobytes(), train[mine].tobytes(), local.astype("<u2").tobytes(),
-                    codes[: len(v)].tobytes(), n.astype("<u4").tobytes(), codes[len(v) :].tobytes(), seldom.tobytes(),
+                    int(part[lo]), t.names[mine].tobytes(), train[mine].tobytes(), _planes(local.astype("<u2")),
+                    _planes(codes[: len(v)]), _planes(n.astype("<u4")), _planes(codes[len(v) :]), seldom.tobytes(),
                 ))
             types = [pa.int32(), *[pa.binary()] * 7]
             columns = list(zip(*out, strict=True)) if out else [()] * 8
@@ -283,7 +293,7 @@ def _gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The names and training marks of the texts of several runs, and for every occurrence its text among them."""
     names = [np.frombuffer(r["names"], "<u8") for r in rows]
     first = np.concatenate(([0], np.cumsum([len(n) for n in names])))
-    text = np.concatenate([np.frombuffer(r["text"], "<u2").astype(np.int32) + np.int32(f) for r, f in zip(rows, first, strict=False)])
+    text = np.concatenate([_from_planes(r["text"], "<u2").astype(np.int32) + np.int32(f) for r, f in zip(rows, first, strict=False)])
     return np.concatenate(names), np.concatenate([np.frombuffer(r["train"], bool) for r in rows]), text
 
 
@@ -293,11 +303,11 @@ def _decoded(rows: list[dict], classes: int) -> tuple[np.ndarray, np.ndarray]:
     for row in rows:
         seldom = np.frombuffer(row["seldom"], "<u8")
         for name, out in (("x", v), ("z", w)):
-            code = np.frombuffer(row[name], "<u4").astype(np.uint64)
+            code = _from_planes(row[name], "<u4").astype(np.uint64)
             far = code >= classes
             code[far] = seldom[(code[far] - np.uint64(classes)).astype(np.int64)]
             out.append(code)
-        v[-1] = np.repeat(v[-1], np.frombuffer(row["y"], "<u4"))
+        v[-1] = np.repeat(v[-1], _from_planes(row["y"], "<u4"))
     return np.concatenate(v), np.concatenate(w)
 
 
