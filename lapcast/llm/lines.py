@@ -12,17 +12,24 @@ from pyspark.sql import functions as F
 from lapcast.llm.common import SPACE, id_and_text, mapped
 from lapcast.llm.hashing import hashed, mixed
 from lapcast.plans.skew import lookup_join, salted_join
-from lapcast.session import written
+from lapcast.session import block_rows, written
 
 #: Similarity in hundredths; lines of fewer distinct words are left alone, which with 1 are only those without any.
 PERCENT, LEAST_WORDS = 80, 1
 #: Words are counted in so many buckets, which bounds the table that every task gets. Words that share a bucket
 #: share a rarity; the order stays the same total order everywhere, so this touches speed, never results.
 BUCKET_BITS = 22
-#: The lines of a word that stands in at most so many lines are compared where the word's rows meet; a word's count
-#: bounds that group. More frequent words take joins that can be split.
-RARE = 256
+#: Words that stand in so many lines or more share a rarity.
+MOST = np.uint64((1 << 24) - 1)
+#: Lines that share a key are compared where the key's rows meet while they are at most so many; larger groups take joins
+#: that can be split. A word expected in more lines is no key alone: it is joined with later words of the line's prefix
+#: until the key is expected in no more, so the groups do not grow with the corpus.
+RARE = 512
+#: A key has at most so many words.
+DEEPEST = 4
 NO_ID = -(2**63)
+_ROW = ["token", "line", "size", "pos", "small", "sketch"]
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
 
 
 def row_key(row_id: Column, text: Column) -> Column:
@@ -39,13 +46,17 @@ def _line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w.hashes, before + w.text, number, w.text
 
 
+def _count(hashes: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    return rarity[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
+
+
 def _line_sets(column: pa.Array, rarity: np.ndarray | None = None):
     """The distinct words of every line, line by line, rarest first if counts are given.
 
     Gives the sorted words, the first place of every line among them, the lines' sizes, rows and numbers.
     """
     h, line, number, row = _line_words(column)
-    rank = h if rarity is None else rarity[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
+    rank = h if rarity is None else np.minimum(_count(h, rarity), MOST) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
     order = np.lexsort((h, rank, line)) if rarity is not None else np.lexsort((h, line))
     h, line, rank = h[order], line[order], rank[order]
     fresh = np.ones(len(h), dtype=bool)
@@ -82,42 +93,63 @@ def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
     seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long"), "lines")
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
     summed = seen.where("line IS NULL").groupBy("no").agg(F.sum("id").alias("n")).toArrow()
-    counts[summed["no"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 24) - 1).astype(np.uint32)
+    counts[summed["no"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 32) - 1).astype(np.uint32)
     return seen.where("line IS NOT NULL"), counts
 
 
-def _prefixes(texts: DataFrame, rarity: np.ndarray, percent: int, least: int) -> DataFrame:
-    """``token, id, row, no, size, pos, small, sketch``: the rarest words of every line that a similar line must share one of.
+def _prefixes(texts: DataFrame, rarity: np.ndarray, n_lines: int, percent: int, least: int) -> DataFrame:
+    """``token, line, size, pos, small, sketch``: keys from the rarest words of every line, of which similar lines share one.
 
     A line looks for partners of at most its size by its first ``size - ceil(t * size) + 1`` words; partners that are as
-    long or longer find it by fewer (``small``), as equal sizes need a larger overlap. Short lines that only equal sets can
-    be similar to have no rows. ``sketch`` has a bit for each of 64
-    classes of words, set where the line has an odd number of them.
+    long or longer find it by fewer (``small``), as equal sizes need a larger overlap. Similar lines that must share k words
+    have the first k shared ones within k - 1 more words, so a frequent word is joined with the next ones: the rule
+    depends on the words' counts alone, hence both lines have the key. ``pos`` is the last word's place less the words
+    before it in the key. Short lines that only equal sets can be similar to have no rows. ``line`` is the set's name; ``sketch``
+    has a bit for each of 64 classes of words, set where the line has an odd number of them; the highest 24 bits of
+    ``token`` are the count of its rarest word, which bounds the key's.
     """
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, rank, first, size, row, number = _line_sets(batch.column("text"), rarity)
+            h, rank, first, size, _, _ = _line_sets(batch.column("text"), rarity)
             if not len(first):
                 continue
             probe = size - -(-percent * size // 100) + 1
             index = size - -(-2 * percent * size // (100 + percent)) + 1
-            pos = np.arange(len(h)) - np.repeat(first, size)
+            overlap = -(-percent * size // 100)
+            place = np.arange(len(h)) - np.repeat(first, size)
             line = np.repeat(np.arange(len(first)), size)
+            name = np.add.reduceat(mixed(h), first).view(np.int64)
             sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first).view(np.int64)
             alone = (percent * (size + 1) > 100 * size) & (percent * size > 100 * (size - 1)) & (percent * (size + 1) > 100 * (size - 1))
-            kept = (pos < probe[line]) & (size >= least)[line] & ~alone[line]
-            line, pos = line[kept], pos[kept]
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
+            count = _count(h, rarity).astype(np.float64)
+            last = np.flatnonzero((place < probe[line]) & (size >= least)[line] & ~alone[line])
+            key, expected, top = rank[last], count[last], rank[last] >> np.uint64(40) << np.uint64(40)
+            found = []
+            for depth in range(1, DEEPEST + 1):
+                own = line[last]
+                # Lines that may have to share no more words than the key has keep it; they have the longer keys too.
+                few = overlap[own] <= depth
+                ends = few | (expected <= RARE) if depth < DEEPEST else np.ones(len(last), dtype=bool)
+                pos = place[last] - (depth - 1)
+                found.append((key[ends], own[ends], pos[ends]))
+                more = (expected > RARE) & (depth < DEEPEST)
+                last, key, expected, top, own = last[more], key[more], expected[more], top[more], own[more]
+                left = np.minimum(probe[own] + depth, size[own]) - 1 - place[last]
+                at = np.repeat(np.arange(len(last)), left)
+                last = last[at] + np.arange(len(at)) - np.repeat(np.cumsum(left) - left, left) + 1
+                top = top[at]
+                key = top | mixed(key[at] ^ mixed(h[last])) >> np.uint64(24)
+                expected = expected[at] * count[last] / max(n_lines, 1)
+            key, own, pos = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(rank[kept].view(np.int64)), pa.array(ids[row[line]]), pa.array(keys[row[line]]), pa.array(number[line], pa.int32()),
-                    pa.array(size[line], pa.int32()), pa.array(pos, pa.int32()), pa.array(pos < index[line], pa.bool_()), pa.array(sketch[line]),
+                    pa.array(key.view(np.int64)), pa.array(name[own]), pa.array(size[own], pa.int32()),
+                    pa.array(pos, pa.int32()), pa.array(pos < index[own], pa.bool_()), pa.array(sketch[own]),
                 ],
-                ["token", "id", "row", "no", "size", "pos", "small", "sketch"],
+                _ROW,
             )
 
-    return mapped(texts, emit, "token long, id long, row long, no int, size int, pos int, small boolean, sketch long")
+    return mapped(texts, emit, "token long, line long, size int, pos int, small boolean, sketch long")
 
 
 def _may_match(x: str, y: str, percent: int) -> Column:
@@ -136,74 +168,82 @@ def _may_match(x: str, y: str, percent: int) -> Column:
 
 
 def _rare_pairs(c: dict[str, np.ndarray], percent: int) -> list[np.ndarray]:
-    """``id, row, no``, early and late, of the pairs that share a word and pass the filters; the rows lie in the words' order.
+    """The names of the two lines, smaller ones first, of the pairs that share a key and pass the filters; equal keys lie together.
 
-    Without a column ``row``, ids name rows.
+    A line is named by ``line``, or by ``id, no``.
     """
-    place = [k for k in ("id", "row", "no") if k in c]
-    found = [[] for _ in (*place, *place)]
-    i, step = np.arange(len(c["token"])), 0
+    names = [k for k in ("line", "id", "no") if k in c]
+    found = [[] for _ in (*names, *names)]
+    token, size, sketch = (c[k] for k in ("token", "size", "sketch"))
+    reach = size - c["pos"]
+    i, step = np.arange(len(token)), 0
     while len(i):
         step += 1
-        i = i[i + step < len(c["token"])]
-        i = i[c["token"][i] == c["token"][i + step]]
-        x, y = ({k: v[at] for k, v in c.items()} for at in (i, i + step))
-        total, small = x["size"] + y["size"], np.minimum(x["size"], y["size"])
-        bound = np.minimum(x["size"] - x["pos"], y["size"] - y["pos"])
-        shorter = (x["small"] | (x["size"] > y["size"])) & (y["small"] | (y["size"] > x["size"]))
-        turned = np.bitwise_count((x["sketch"] ^ y["sketch"]).view(np.uint64)).astype(np.int64)
-        alike = (100 + percent) * turned <= (100 - percent) * total
-        swap, apart = (np.zeros(len(i), dtype=bool) for _ in range(2))
-        for k in reversed(place):
-            swap = (x[k] > y[k]) | ((x[k] == y[k]) & swap)
-            apart |= x[k] != y[k]
-        kept = apart & alike & (100 * small >= percent * (total - small)) & ((100 + percent) * bound >= percent * total) & shorter
-        for out, one, other in zip(found, place * 2, np.repeat((False, True), len(place)), strict=True):
-            out.append(np.where(swap != other, y[one], x[one])[kept])
+        i = i[i + step < len(token)]
+        i = i[token[i] == token[i + step]]
+        turned = np.bitwise_count((sketch[i] ^ sketch[i + step]).view(np.uint64)).astype(np.int64)
+        x = i[(100 + percent) * turned <= (100 - percent) * (size[i] + size[i + step])]
+        y = x + step
+        total, small = size[x] + size[y], np.minimum(size[x], size[y])
+        shorter = (c["small"][x] | (size[x] > size[y])) & (c["small"][y] | (size[y] > size[x]))
+        kept = (100 * small >= percent * (total - small)) & ((100 + percent) * np.minimum(reach[x], reach[y]) >= percent * total) & shorter
+        x, y = x[kept], y[kept]
+        swap, apart = (np.zeros(len(x), dtype=bool) for _ in range(2))
+        for k in reversed(names):
+            swap = (c[k][x] > c[k][y]) | ((c[k][x] == c[k][y]) & swap)
+            apart |= c[k][x] != c[k][y]
+        for out, name, other in zip(found, names * 2, np.repeat((False, True), len(names)), strict=True):
+            out.append(np.where(swap != other, c[name][y], c[name][x])[apart])
     return [np.concatenate(f) if f else np.array([], dtype=np.int64) for f in found]
 
 
 def _met(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of lines that share a rare word (``id, row, no`` and ``late_id, late_row, late_no``, no ``token``), and the rows of other words as they are."""
-    names = ["token", "id", "row", "no", "size", "pos", "small", "sketch"]
-    late = ["late_id", "late_row", "late_no"]
+    """Pairs of lines that share a key of at most ``RARE`` lines (``line`` and ``other``, no ``token``), and the rows of other keys as they are.
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
-            early_id, early_row, early_no, late_id, late_row, late_no = _rare_pairs(c, percent)
-            blank = lambda t: pa.nulls(len(late_id), t)
-            return pa.RecordBatch.from_arrays(
-                [
-                    blank(pa.int64()), pa.array(early_id, pa.int64()), pa.array(early_row, pa.int64()), pa.array(early_no, pa.int32()),
-                    blank(pa.int32()), blank(pa.int32()), blank(pa.bool_()), blank(pa.int64()),
-                    pa.array(late_id, pa.int64()), pa.array(late_row, pa.int64()), pa.array(late_no, pa.int32()),
-                ],
-                [*names, *late],
-            )
+    A key's rows meet in one task, which passes on those of a larger group as they come; rows of words that stand in more than
+    ``lapcast.blockRows`` lines are dealt over all tasks and passed on.
+    """
+    limit = min(block_rows(prefixes.sparkSession), int(MOST) - 1)
 
-        held: dict[str, np.ndarray] | None = None
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(c: dict[str, np.ndarray], large: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if large.any():
+                columns = [pa.array(c[k][large]).cast(t) for k, t in zip(_ROW, _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.int64())], [*_ROW, "other"])
+            x, y = _rare_pairs({k: v[~large] for k, v in c.items()}, percent)
+            pairs = np.unique(np.stack([x, y]), axis=1) if len(x) else np.zeros((2, 0), dtype=np.int64)
+            blank = [pa.nulls(pairs.shape[1], t) for t in _TYPES[2:]]
+            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), *blank, pa.array(pairs[1])], [*_ROW, "other"])
+
+        def groups(c: dict[str, np.ndarray], over: int | None) -> np.ndarray:
+            first = np.flatnonzero(np.append(True, c["token"][1:] != c["token"][:-1]))
+            count = np.diff(np.append(first, len(c["token"])))
+            large = (count > RARE) | (c["token"][first].view(np.uint64) >> np.uint64(40) > limit)
+            large[0] |= over is not None and c["token"][0] == over
+            return np.repeat(large, count)
+
+        parts, held, over = [], 0, None
         for batch in batches:
-            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-            c |= {k: c[k].astype(np.int64) for k in ("no", "size", "pos")}
-            rare = c["token"].view(np.uint64) >> np.uint64(40) <= RARE
-            others = batch.filter(pa.array(~rare))
-            if others.num_rows:
-                none = [pa.nulls(others.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*others.columns, *none], [*names, *late])
-            c = {k: v[rare] if held is None else np.concatenate([held[k], v[rare]]) for k, v in c.items()}
-            if not len(c["token"]):
+            c = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in _ROW}
+            parts.append(c | {k: c[k].astype(np.int64) for k in ("size", "pos")})
+            held += batch.num_rows
+            if held < 1 << 17:
                 continue
-            # The last word's rows may go on in the next batch.
-            cut = int(np.argmax(c["token"] == c["token"][-1]))
-            held = {k: v[cut:] for k, v in c.items()}
-            yield pairs({k: v[:cut] for k, v in c.items()})
-        if held is not None:
-            yield pairs(held)
-
-    often = F.shiftrightunsigned("token", 40) > RARE
-    placed = prefixes.repartition("token", F.when(often, F.col("row")).otherwise(0)).sortWithinPartitions(often, "token")
-    schema = "token long, id long, row long, no int, size int, pos int, small boolean, sketch long, late_id long, late_row long, late_no int"
-    return mapped(placed.select(*names), meet, schema, rows=20_000)
+            c = {k: np.concatenate([p[k] for p in parts]) for k in _ROW}
+            large = groups(c, over)
+            # The last key's rows may go on in the next batch; those of a group known as large go out at once.
+            cut = len(large) if large[-1] else int(np.argmax(c["token"] == c["token"][-1]))
+            over = int(c["token"][-1]) if large[-1] else None
+            yield from out({k: v[:cut] for k, v in c.items()}, large[:cut])
+            parts, held = [{k: v[cut:] for k, v in c.items()}], len(large) - cut
+        if held:
+            c = {k: np.concatenate([p[k] for p in parts]) for k in _ROW}
+            yield from out(c, groups(c, over))
+
+    often = F.shiftrightunsigned("token", 40) > limit
+    placed = prefixes.repartition("token", F.when(often, F.col("line")).otherwise(0)).sortWithinPartitions("token")
+    schema = "token long, line long, size int, pos int, small boolean, sketch long, other long"
+    return mapped(placed.select(*_ROW), meet, schema, rows=20_000)
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -232,27 +272,30 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     than each other: all lose the same lines. A line is removed also when the earlier line itself goes.
 
     Equal sets are found first, by a grouping that combines before it shuffles, so only the first line of every set
-    enters the join. Lines that share a word of at most ``RARE`` lines meet in one pass over the word's rows; of a more
-    frequent word every line meets the word's earliest one. Each line is verified against its earliest candidate first,
+    enters the join. Lines that share a key of at most ``RARE`` lines meet in one pass over the key's rows; of a more
+    frequent key every line meets the key's earliest one. Each line is verified against its earliest candidate first,
     and only lines without that match against the others, so a bucket of variants of one line costs its length.
     """
     texts = id_and_text(df, key, text).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), row_key(F.col("id"), F.col("text")).alias("row"), "text")
     lines, rarity = _rare_counts(texts, least)
     at = F.struct("id", "row", "no")
-    firsts = lines.groupBy("line", "size").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("_n"))
-    firsts = written(firsts.where("_n > 1"), "lines-firsts")
-    again = salted_join(lines, firsts.drop("_n"), ["line", "size"], sizes=firsts.select("line", "size", "_n"))
+    firsts = written(lines.groupBy("line", "size").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("_n")), "lines-firsts")
+    repeated = firsts.where("_n > 1")
+    again = salted_join(lines, repeated.drop("_n"), ["line", "size"], sizes=repeated.select("line", "size", "_n"))
     equal = written(again.where(at > F.col("first")).select("id", "row", "no").distinct(), "lines-equal")
 
     gone = equal.groupBy("id", "row").agg(F.collect_set("no").alias("gone"))
     held = lookup_join(texts, gone, ["id", "row"], "left")
     blank = lambda l, i: F.when(F.array_contains("gone", i), "").otherwise(l)
     rest = held.select("id", "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.split("text", "\n"), blank), "\n")).alias("text"))
-    gathered = written(_met(_prefixes(rest, rarity, percent, least), percent), "lines-met")
-    close = gathered.where("token IS NULL").select(
-        at.alias("early"), F.struct(F.col("late_id").alias("id"), F.col("late_row").alias("row"), F.col("late_no").alias("no")).alias("late")
-    )
-    often = gathered.where("token IS NOT NULL").select("token", F.struct("id", "row", "no", "size", "pos", "small", "sketch").alias("l"))
+    gathered = written(_met(_prefixes(rest, rarity, lines.count(), percent, least), percent), "lines-met")
+    place = lambda name: firsts.select(F.col("line").alias(name), F.col("first").alias(f"at_{name}"))
+    close = gathered.where("token IS NULL").select(F.col("line").alias("x"), F.col("other").alias("y")).distinct()
+    close = close.join(place("x"), "x").join(place("y"), "y").where("at_x <> at_y")
+    close = written(close.select(F.least("at_x", "at_y").alias("early"), F.greatest("at_x", "at_y").alias("late")), "lines-close")
+
+    often = gathered.where("token IS NOT NULL").drop("other").join(place("line"), "line")
+    often = often.select("token", F.struct("at_line.id", "at_line.row", "at_line.no", "size", "pos", "small", "sketch").alias("l"))
     heads = written(often.groupBy("token").agg(F.min("l").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "lines-heads")
     rows = salted_join(often, heads.drop("_n"), ["token"], sizes=heads.select("token", "_n")).select("token", "l", "head")
     rows = written(rows, "lines-prefixes")

@@ -24,9 +24,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document its lines, how many of them go, and which (numbers from 0); lines of fewer than five distinct words stay."""
+    """Per document its lines, how many of them go, and which (numbers from 0); every line with a word is compared."""
     docs = table(spark, sf_dir, "documents")
-    late = lines.later_lines(docs, least=5).withColumnsRenamed({"id": "_id", "row": "_key"})
+    late = lines.later_lines(docs).withColumnsRenamed({"id": "_id", "row": "_key"})
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(lines.NO_ID)).alias("_id"),
         lines.row_key(F.col("doc_id"), F.col("text")).alias("_key"),
@@ -177,7 +177,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AUDIT_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
 f AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
     100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(first < doc_id, FALSE)] AS f FROM w),
 l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),

@@ -34,7 +34,7 @@ def best_fit(lengths, limit):
     return bins
 
 
-def later_lines(docs, percent=80, least=5):
+def later_lines(docs, percent=80, least=1):
     """{doc_id: line numbers} with an earlier similar line, by comparing with all earlier ones."""
     lines = sorted(
         (doc, no, frozenset(words(line))) for doc, text in docs for no, line in enumerate((text or "").split("\n"))

@@ -355,6 +355,23 @@ def test_tree_matching_keeps_order():
     assert labels == sorted(["", "div", "h1", "h2", "p"]) or labels == sorted(["", "div", "h1", "h2", "ul"])
 
 
+def test_lines_of_frequent_words(spark, monkeypatch):
+    """Keys of several words, groups above the limit and words above lapcast.blockRows lose no similar lines."""
+    rng = np.random.default_rng(11)
+    base = [[f"w{k}" for k in rng.integers(0, 9, n)] for n in rng.integers(1, 14, 60)]
+    near = [[*w[:-1], f"w{rng.integers(0, 9)}"] for w in base for _ in range(2)]
+    every = [" ".join(w) for w in base + near] + [f"{i} " + " ".join(f"c{k}" for k in range(12)) for i in range(40)]
+    docs = [(i, "\n".join(every[j] for j in rng.integers(0, len(every), 6))) for i in range(80)]
+    want = brute.later_lines(docs, 80, 1)
+    for rare, block in ((2, None), (20, None), (2, "30")):
+        monkeypatch.setattr(lines, "RARE", rare)
+        if block:
+            spark.conf.set("lapcast.blockRows", block)
+        got = {r["id"]: r["nos"] for r in lines.later_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        spark.conf.unset("lapcast.blockRows")
+        assert got == want
+
+
 def test_lines_of_a_rare_word_meet_once_each():
     rng = np.random.default_rng(5)
     n = 60
