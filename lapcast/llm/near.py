@@ -29,6 +29,8 @@ MARGIN = 0.15
 TOLD = 128
 #: The lowest bits of a register that travel with a row while pairs are looked for.
 CODE_BITS = 4
+#: Where each register looks for a value when it is empty itself: an order of all registers of its own.
+PROBES = np.argsort(mixed(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=0)
 CODES = [f"code{i}" for i in range(CODE_BITS * REGISTERS // 64)]
 PERCENT = 85
 
@@ -61,6 +63,29 @@ def codes(register_rows: np.ndarray) -> list[np.ndarray]:
     return [half[:, i] for half in bits for i in range(REGISTERS // 64)]
 
 
+def band_keys(register_rows: np.ndarray) -> np.ndarray:
+    """One 64-bit key for every band of each row.
+
+    An empty register first takes the value of the first filled one in its own order of registers, so bands of short
+    documents too consist of ``ROWS`` values; two rows agree in such a register as often as in others, by their similarity.
+    """
+    full = register_rows.copy()
+    row, at = np.nonzero((register_rows == 0) & (register_rows > 0).any(axis=1)[:, None])
+    for probe in PROBES:
+        if not len(row):
+            break
+        value = register_rows[row, probe[at]]
+        full[row, at] = value
+        row, at = row[value == 0], at[value == 0]
+    keys = np.empty((len(full), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        h = np.full(len(full), band + 1, dtype=np.uint64)
+        for i in range(band * ROWS, (band + 1) * ROWS):
+            h = mixed(h << np.uint64(16) ^ h >> np.uint64(48) ^ full[:, i].astype(np.uint64))
+        keys[:, band] = h
+    return keys.view(np.int64)
+
+
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether two rows with ``n`` and ``CODES`` may be a link, told by the registers whose codes differ.
 
@@ -87,35 +112,31 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id, n, d1, d2, registers`` and ``CODES``: size of the shingle set, 128 bits that name the set, its registers."""
+    """``id, n, d1, d2, registers, bands`` and ``CODES``: size of the shingle set, 128 bits that name the set, its registers and band keys."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, regs = [], [], [], []
+            if not batch.num_rows:
+                continue
             for s in _sets(batch.column("text")):
                 n.append(len(s))
                 d1.append(np.add.reduce(mixed(s)) if len(s) else np.uint64(0))
                 d2.append(np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else np.uint64(0))
                 regs.append(registers(s).tobytes() if len(s) else bytes(2 * REGISTERS))
             longs = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            bits = codes(np.frombuffer(b"".join(regs), dtype="<u2").reshape(-1, REGISTERS))
+            found = np.frombuffer(b"".join(regs), dtype="<u2").reshape(-1, REGISTERS)
+            bits, keys = codes(found), band_keys(found)
+            keys = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), longs(d1), longs(d2), pa.array(regs, pa.binary()), *map(pa.array, bits)],
-                ["id", "n", "d1", "d2", "registers", *CODES],
+                [batch.column("id"), pa.array(n, pa.int64()), longs(d1), longs(d2), pa.array(regs, pa.binary()), keys, *map(pa.array, bits)],
+                ["id", "n", "d1", "d2", "registers", "bands", *CODES],
             )
 
-    schema = "id long, n long, d1 long, d2 long, registers binary, " + ", ".join(f"{c} long" for c in CODES)
+    schema = "id long, n long, d1 long, d2 long, registers binary, bands array<long>, " + ", ".join(f"{c} long" for c in CODES)
     return mapped(id_and_text(df, key, text), sketch, schema)
 
 
-def band_keys(registers_column: Column) -> Column:
-    """One 64-bit key for every band that is not empty."""
-    width = 2 * ROWS
-    part = lambda i: F.substring(registers_column, i * width + 1, F.lit(width))
-    kept = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: part(i) != F.lit(bytes(width)))
-    return F.transform(kept, lambda i: F.xxhash64(i, part(i)))
-
-
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` that really are links, confirmed on full shingle sets.
 
@@ -172,7 +193,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     name documents: rows that repeat an id share one component. Rows with a null id join the class of their text under
     its smallest id, and have a null component if none is there. Only the two named columns are read.
 
-    In every bucket each class is compared with the bucket's smallest one, then with three others, and only pairs
+    In every bucket each class is compared with the bucket's smallest one, then with three others, among them the one that shares most buckets with others, and only pairs
     that are still in different components after that are compared one by one, by the codes of their registers first; so
     a bucket of copies costs its length.
     """
@@ -181,13 +202,15 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     classes = written(classes, "near-classes")
     heads = classes.select(F.col("node").alias("id"), "d1", "d2")
     heads = rows.join(heads, ["id", "d1", "d2"]).dropDuplicates(["id", "d1", "d2"])
-    nodes = written(heads.select(F.col("id").alias("node"), "n", "registers", *CODES), "near-nodes")
+    nodes = written(heads.select(F.col("id").alias("node"), "n", "registers", "bands", *CODES), "near-nodes")
 
-    keyed = nodes.select(F.explode(band_keys(F.col("registers"))).alias("key"), "node", "n")
-    hubs = [F.min("node").alias("h0"), F.max("node").alias("h1")]
-    hubs += [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("x"), "node"))["node"].alias(f"h{k}") for k in (2, 3)]
+    keyed = nodes.select(F.explode("bands").alias("key"), "node")
+    hubs = [F.min("node").alias("h0")]
+    hubs += [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("x"), "node"))["node"].alias(f"h{k}") for k in (1, 2)]
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *hubs).where("size > 1")
-    shared = written(keyed.join(crowds.drop("size"), "key"), "near-buckets")
+    shared = written(keyed.join(crowds, "key"), "near-buckets")
+    # The text that others were made from shares more buckets with them than they do with each other.
+    met = shared.groupBy("node").agg(F.sum("size").alias("met"))
 
     pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a < b").distinct()
     first = pair(shared, "h0", "node")
@@ -206,6 +229,8 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
         mixed_keys = placed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
         left = placed.join(mixed_keys, "key")
         if others:
+            popular = left.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("h3"))
+            left = left.join(popular, "key")
             found = left.select("node", "group", F.explode(F.array(*others)).alias("hub"))
             named = groups.select(F.col("node").alias("hub"), F.col("component").alias("hub_group"))
             found = found.distinct().join(named, "hub", "left").where("group <> coalesce(hub_group, hub)")
