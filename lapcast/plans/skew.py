@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapcast.session import block_rows, broadcast_rows
+from lapcast.session import block_rows, broadcast_rows, held
 
 
 def hot_keys(df: DataFrame, keys: list[str], *extra: Column, limit: int | None = None) -> DataFrame | None:
@@ -21,7 +21,7 @@ def hot_keys(df: DataFrame, keys: list[str], *extra: Column, limit: int | None =
 
 def hot_of(counts: DataFrame, limit: int | None = None) -> DataFrame | None:
     """The hot keys of a table that already holds one count ``_n`` per key."""
-    hot = counts.where(F.col("_n") > (limit or block_rows(counts.sparkSession))).persist()
+    hot = held(counts.where(F.col("_n") > (limit or block_rows(counts.sparkSession))))
     if hot.count() == 0:
         hot.unpersist()
         return None
@@ -82,7 +82,7 @@ def lookup_join(
     limit = broadcast_rows(big.sparkSession)
     if at_most is not None and at_most <= limit:
         return big.join(F.broadcast(small), keys, how)
-    small = small.persist()
+    small = held(small)
     if small.limit(limit + 1).count() <= limit:
         return big.join(F.broadcast(small), keys, how)
     small.unpersist()

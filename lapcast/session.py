@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +16,10 @@ BLOCK_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 
 
+#: What the open ``scratch`` blocks, outermost first, have to release.
+_SCOPES: ContextVar[tuple[list[Callable[[], object]], ...]] = ContextVar("scopes", default=())
+
+
 def build_session(cores: int | str = "*", partitions: int | None = None, app: str = "lapcast") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -69,8 +76,47 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Compute once into a Parquet table in the shared folder: later scans prune columns."""
-    path = fresh_path(df.sparkSession, name)
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes, at its end, the tables that ``written`` makes inside and drops what ``held`` keeps in memory.
+
+    For work whose result is stored, with ``keep`` or elsewhere, before the block ends. After an error all stay.
+    """
+    mine: list[Callable[[], object]] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+    for release in mine:
+        release()
+
+
+def _released_later(release: Callable[[], object], outer: int = 0) -> None:
+    scopes = _SCOPES.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(release)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Persisted until the innermost ``scratch`` block ends, if there is one."""
+    df = df.persist()
+    _released_later(df.unpersist)
+    return df
+
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+    """Compute once into a Parquet table in the shared folder: later scans prune columns.
+
+    The innermost ``scratch`` block removes the table at its end; with ``keep`` only the block around that one does.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+
+    def remove() -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    _released_later(remove, int(keep))
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
