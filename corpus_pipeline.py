@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lapcast.llm import leaks, lines, near, packing, rules
 from lapcast.llm.common import table
-from lapcast.session import written
+from lapcast.session import scratch, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; what a stage stored for itself goes with it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch():
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs

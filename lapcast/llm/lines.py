@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lapcast.llm.common import SPACE, id_and_text, mapped
 from lapcast.llm.hashing import hashed, mixed
 from lapcast.plans.skew import lookup_join, salted_join
-from lapcast.session import block_rows, written
+from lapcast.session import block_rows, scratch, written
 
 #: Similarity in hundredths; lines of fewer distinct words are left alone, which with 1 are only those without any.
 PERCENT, LEAST_WORDS = 80, 1
@@ -276,6 +276,11 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     frequent key every line meets the key's earliest one. Each line is verified against its earliest candidate first,
     and only lines without that match against the others, so a bucket of variants of one line costs its length.
     """
+    with scratch():
+        return _later(df, key, text, percent, least)
+
+
+def _later(df: DataFrame, key: str, text: str, percent: int, least: int) -> DataFrame:
     texts = id_and_text(df, key, text).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), row_key(F.col("id"), F.col("text")).alias("row"), "text")
     lines, rarity = _rare_counts(texts, least)
     at = F.struct("id", "row", "no")
@@ -316,7 +321,7 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     fresh = written(pair(met, "e", "l").unionByName(unmatched).distinct().join(tried, ["early", "late"], "left_anti"), "lines-pairs")
     late = found.unionByName(_similar(texts, fresh, percent).select("late"))
     every = equal.unionByName(late.select("late.id", "late.row", "late.no")).distinct()
-    return written(every.groupBy("id", "row").agg(F.sort_array(F.collect_list("no")).alias("nos")), "lines-late")
+    return written(every.groupBy("id", "row").agg(F.sort_array(F.collect_list("no")).alias("nos")), "lines-late", keep=True)
 
 
 def without_later_lines(
