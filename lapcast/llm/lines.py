@@ -90,7 +90,7 @@ def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
             [pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(np.zeros(len(used), dtype=np.int32)), pa.nulls(len(used), pa.int64())], names
         )
 
-    seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long"), "lines")
+    seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long", rows=500), "lines")
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
     summed = seen.where("line IS NULL").groupBy("no").agg(F.sum("id").alias("n")).toArrow()
     counts[summed["no"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 32) - 1).astype(np.uint32)
@@ -149,7 +149,7 @@ def _prefixes(texts: DataFrame, rarity: np.ndarray, n_lines: int, percent: int,
                 _ROW,
             )
 
-    return mapped(texts, emit, "token long, line long, size int, pos int, small boolean, sketch long")
+    return mapped(texts, emit, "token long, line long, size int, pos int, small boolean, sketch long", rows=500)
 
 
 def _may_match(x: str, y: str, percent: int) -> Column:

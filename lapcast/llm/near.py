@@ -134,7 +134,7 @@ def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             )
 
     schema = "id long, n long, d1 long, d2 long, registers binary, bands array<long>, " + ", ".join(f"{c} long" for c in CODES)
-    return mapped(id_and_text(df, key, text), sketch, schema)
+    return mapped(id_and_text(df, key, text), sketch, schema, rows=500)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
