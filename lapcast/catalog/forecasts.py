@@ -118,13 +118,22 @@ def regression_report(spark, sf_dir):
 def trailing_spread():
     """A small user model: the past rows' own quantiles for every horizon."""
 
+    spread = spread_of_arrays()
+
     def run(batch):
-        past = np.stack([[r["value"] for r in rows] for rows in batch["past"]])
-        return np.repeat(np.quantile(past, [0.1, 0.5, 0.9], axis=1).T[:, None, :], 3, axis=1)
+        return spread({"value": np.stack([[r["value"] for r in rows] for rows in batch["past"]])}, batch)
 
     return run
 
 
+def spread_of_arrays():
+    """The same model on arrays."""
+    return lambda past, _: np.repeat(np.quantile(past["value"], [0.1, 0.5, 0.9], axis=1).T[:, None, :], 3, axis=1)
+
+
+trailing_spread.arrays = spread_of_arrays
+
+
 @query(
     "m4_user_model",
     """WITH win AS (SELECT * FROM (SELECT user_id, ts AS origin_ts, list(value) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS past,

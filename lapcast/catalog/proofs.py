@@ -262,22 +262,35 @@ def user_windows(spark, sf_dir):
 def user_model_attributions(spark, sf_dir):
     """Every window's shares of four runs of past rows add up to its forecast's change from the background's mean forecast."""
     made, against = user_windows(spark, sf_dir)
-    rows = attr.attributions(made, trailing_spread, attr.by_position(["value"], 20, 5), against, ["user_id", "event_id"], pairs=BACKGROUND // 2)
-    first = rows.where("horizon = 1").groupBy("user_id", "event_id", "quantile")
+    rows = attr.attributions(made, trailing_spread, attr.by_position(["value"], 20, 5), against, ["user_id", "event_id"], pairs=BACKGROUND // 2, horizons=[1])
+    first = rows.groupBy("user_id", "event_id", "quantile")
     return first.agg(F.count(F.lit(1)).cast("int").alias("features"), shown(F.sum("share"), 8).alias("change"))
 
 
 def fading_mean():
     """A small linear user model: a weighted mean that fades into the past, the same for all quantiles and horizons."""
 
+    fading = fading_mean_of_arrays()
+
     def run(batch):
-        past = np.array([[r["value"] for r in rows] for rows in batch["past"]], dtype=float)
-        weights = np.arange(1, past.shape[1] + 1) / 210
-        return np.repeat((past @ weights)[:, None], 9, axis=1)
+        return fading({"value": np.array([[r["value"] for r in rows] for rows in batch["past"]], dtype=float)}, batch)
+
+    return run
+
+
+def fading_mean_of_arrays():
+    """The same model on arrays."""
+
+    def run(past, _):
+        weights = np.arange(1, past["value"].shape[1] + 1) / 210
+        return np.repeat((past["value"] @ weights)[:, None], 9, axis=1)
 
     return run
 
 
+fading_mean.arrays = fading_mean_of_arrays
+
+
 @query(
     "m7_user_model_positions",
     f"""WITH {_ATTRIBUTED}, p AS (SELECT unnest(range(1, 21)) AS i), m AS (SELECT i, avg(past[i]) AS y FROM base, p GROUP BY i),
@@ -287,6 +300,6 @@ def fading_mean():
 def user_model_positions(spark, sf_dir):
     """Mean share of each of twenty past rows; for a linear model sampled shares equal the closed form."""
     made, against = user_windows(spark, sf_dir)
-    rows = attr.attributions(made, fading_mean, attr.by_position(["value"], 20), against, ["event_id"], pairs=BACKGROUND // 2)
-    shares = attr.mean_shares(rows.where("horizon = 1 AND quantile = 0.5"))
+    rows = attr.attributions(made, fading_mean, attr.by_position(["value"], 20), against, ["event_id"], pairs=BACKGROUND // 2, horizons=[1], quantiles=[0.5])
+    shares = attr.mean_shares(rows)
     return shares.select(F.col("feature").cast("int").alias("position"), shown("share").alias("share"))

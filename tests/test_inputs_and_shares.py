@@ -136,6 +136,39 @@ def test_shares_of_a_product_are_near_the_exact_ones_within_their_error(small):
     assert all(s == pytest.approx(own[i][:, 0].prod() - other.prod(), abs=1e-9) for i, s in sums.items())
 
 
+def test_a_model_of_arrays_gives_the_shares_of_its_rows_without_python_rows(small):
+    def plain():
+        def run(batch):
+            past = np.array([[(r["v"], r["w"]) for r in rows] for rows in batch["past"]])
+            return np.repeat(past.prod(axis=(1, 2))[:, None], 9, axis=1) * np.arange(1, 10)
+
+        return run
+
+    def never():
+        raise AssertionError("rows are not asked for")
+
+    never.arrays = lambda: lambda past, batch: np.repeat((past["v"] * past["w"]).prod(axis=1)[:, None], 9, axis=1) * np.arange(1, 10)
+    against, groups = attr.background(small, ["id"], 3), attr.by_position(["v"], 3)
+    place = lambda r: (r["id"], r["horizon"], r["quantile"], r["feature"])
+    want = {place(r): r for r in attr.attributions(small, plain, groups, against, ["id"], pairs=3).collect()}
+    got = attr.attributions(small, never, groups, against, ["id"], pairs=3, rows=7, horizons=[3, 1], quantiles=[0.9]).collect()
+    assert sorted(map(place, got)) == sorted(k for k in want if k[1] != 2 and k[2] == 0.9)
+    for r in got:
+        assert (r["share"], r["error"]) == pytest.approx((want[place(r)]["share"], want[place(r)]["error"]), rel=1e-9, abs=1e-9)
+
+
+def test_windows_with_missing_values_go_to_the_model_of_rows(small):
+    def plain():
+        return lambda batch: np.array([[sum(r["v"] or 0.0 for r in rows)] * 9 for rows in batch["past"]])
+
+    both = lambda: plain()
+    both.arrays = lambda: lambda past, batch: np.repeat(past["v"].sum(axis=1)[:, None], 9, axis=1)
+    holed = small.selectExpr("id", "transform(past, (x, i) -> named_struct('v', if(id = 7 and i = 1, null, x.v), 'w', x.w)) AS past")
+    against, groups = attr.background(small.where("id <> 7"), ["id"], 2), attr.by_position(["v"], 3)
+    rows = lambda f: {(r["id"], r["feature"], r["horizon"], r["quantile"]): r["share"] for r in attr.attributions(holed, f, groups, against, ["id"], pairs=1).collect()}
+    assert rows(both) == pytest.approx(rows(plain), rel=1e-9, abs=1e-9)
+
+
 def test_mean_shares_add_up_to_one(small):
     rows = attr.attributions(small, linear, attr.by_position(["v", "w"], 3, 2), attr.background(small, ["id"], 2), ["id"], pairs=1)
     shares = {r["feature"]: r["share"] for r in attr.mean_shares(rows).collect()}
