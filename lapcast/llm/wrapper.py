@@ -7,18 +7,23 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapcast.llm.common import mapped
 from lapcast.llm.urls import host_of
-from lapcast.plans.skew import lookup_join
-from lapcast.session import written
-
-#: A host's slot is found on so many different pages of at most so many elements; its template is counted over all pages.
-FIT_PAGES, FIT_NODES = 8, 1500
+from lapcast.plans.skew import lookup_join, salted_join
+from lapcast.session import broadcast_rows, written
+
+#: A host's pages are all aligned with one of them, its reference: of those with at most so many tags, or else the fewest.
+REFERENCE_TAGS = 3000
+#: References of more text than this are joined, not broadcast.
+BROADCAST_TEXT = 64 << 20
+#: Known pairs of subtrees of one reference; the table is emptied when it is full.
+KNOWN_PAIRS = 200_000
+#: A task keeps the references of so many hosts as trees.
+OPEN_HOSTS = 32
 #: A block is template if it has the same text in this share of the pages with its path, and in so many at least.
 CONSTANT, LEAST_PAGES = 0.6, 3
 #: The content slot is the deepest element that holds this share of the varying text.
@@ -217,36 +222,106 @@ def _outermost(node: Node, wanted, path: str = "") -> list[tuple[Node, str]]:
     return found
 
 
+class Aligner:
+    """Simple tree matching of trees with a reference: the largest top-down, order-keeping pairing of equally labelled elements.
+
+    How two subtrees pair up depends on their shapes alone (labels and order), so it is worked out once for each two shapes,
+    and equal shapes pair up whole. Time and memory for a page grow with its size times the reference's at most.
+    """
+
+    def __init__(self, reference: Node) -> None:
+        self.reference, self.order = reference, [n for n, _ in _paths(reference)]
+        self.place = {id(n): i for i, n in enumerate(self.order)}
+        self.own = [_own(n) for n in self.order]
+        self._clear()
+
+    def _clear(self) -> None:
+        # Shapes by label and shapes of children, their sizes, the pairs that are known: size of the pairing and children by number.
+        self.shapes: dict[tuple, int] = {}
+        self.parts: list[tuple[int, ...]] = []
+        self.labels: list[str] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+        self.of_reference = self._shaped(self.reference)
+
+    def _shaped(self, tree: Node) -> dict[int, int]:
+        """The shape of every element."""
+        nodes = [tree]
+        for node in nodes:
+            nodes += node.elements()
+        out: dict[int, int] = {}
+        for node in reversed(nodes):
+            parts = tuple(out[id(c)] for c in node.elements())
+            shape = self.shapes.setdefault((node.label, parts), len(self.parts))
+            if shape == len(self.parts):
+                self.parts.append(parts)
+                self.labels.append(node.label)
+                self.sizes.append(1 + sum(self.sizes[p] for p in parts))
+            out[id(node)] = shape
+        return out
+
+    def _weight(self, a: int, b: int) -> int:
+        return self.sizes[a] if a == b else self.known[a, b][0]
+
+    def _learn(self, a: int, b: int) -> None:
+        """Pairs of shapes that can meet, parents first; then a pair when all its children's are known."""
+        labels, todo = self.labels, [(a, b, False)]
+        while todo:
+            a, b, ready = todo.pop()
+            if a == b or (a, b) in self.known:
+                continue
+            left, right = self.parts[a], self.parts[b]
+            if not ready:
+                todo.append((a, b, True))
+                todo += {(x, y, False) for x in set(left) for y in set(right) if x != y and labels[x] == labels[y] and (x, y) not in self.known}
+                continue
+            best = [[0] * (len(right) + 1)]
+            for x in left:
+                above, row = best[-1], [0]
+                for j, y in enumerate(right):
+                    most = max(above[j + 1], row[j])
+                    if labels[x] == labels[y]:
+                        most = max(most, above[j] + self._weight(x, y))
+                    row.append(most)
+                best.append(row)
+            i, j, together = len(left), len(right), []
+            while i and j:
+                x, y = left[i - 1], right[j - 1]
+                if labels[x] == labels[y] and best[i][j] == best[i - 1][j - 1] + self._weight(x, y):
+                    i, j = i - 1, j - 1
+                    together.append((i, j))
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+            self.known[a, b] = best[-1][-1] + 1, together
+
+    def pairs(self, tree: Node) -> list[tuple[Node, Node]]:
+        """(element of the reference, element of the tree)."""
+        if self.reference.label != tree.label:
+            return []
+        if len(self.known) > KNOWN_PAIRS or len(self.parts) > KNOWN_PAIRS:
+            self._clear()
+        shape, of_reference = self._shaped(tree), self.of_reference
+        self._learn(of_reference[id(self.reference)], shape[id(tree)])
+        out = [(self.reference, tree)]
+        for one, other in out:
+            left, right, a, b = one.elements(), other.elements(), of_reference[id(one)], shape[id(other)]
+            out += zip(left, right, strict=True) if a == b else [(left[i], right[j]) for i, j in self.known[a, b][1]]
+        return out
+
+    def votes(self, tree: Node) -> list[tuple[int, int, bool]]:
+        """(place, length, same) of the elements the tree has in common: number in the reference, own text's length, whether it is the reference's."""
+        out = []
+        for one, other in self.pairs(tree):
+            at, own = self.place[id(one)], _own(other)
+            out.append((at, len(own), own == self.own[at]))
+        return out
+
+
 def matching(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest top-down, order-keeping pairing of equally labelled elements."""
-    return _match(a, b)[1] if a.label == b.label else []
-
-
-def _match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    # All pairs that can meet, parents first; then from the last to the first, so that children are known.
-    meet = [(a, b, a.elements(), b.elements())]
-    for _, _, left, right in meet:
-        meet += [(x, y, x.elements(), y.elements()) for x in left for y in right if x.label == y.label]
-    known: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
-    for one, other, left, right in reversed(meet):
-        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-        for i, x in enumerate(left):
-            for j, y in enumerate(right):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j])
-                if x.label == y.label:
-                    best[i + 1][j + 1] = max(best[i + 1][j + 1], best[i][j] + known[id(x), id(y)][0])
-        i, j, together = len(left), len(right), [(one, other)]
-        while i and j:
-            x, y = left[i - 1], right[j - 1]
-            if x.label == y.label and best[i][j] == best[i - 1][j - 1] + known[id(x), id(y)][0]:
-                i, j = i - 1, j - 1
-                together += known[id(x), id(y)][1]
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        known[id(one), id(other)] = best[len(left)][len(right)] + 1, together
-    return known[id(a), id(b)]
+    return Aligner(a).pairs(b)
 
 
 def _paths(node: Node, path: str = "") -> Iterator[tuple[Node, str]]:
@@ -275,35 +350,22 @@ def _own(node: Node) -> str:
     return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
 
 
-def _size(node: Node) -> int:
-    return sum(1 for _ in _paths(node))
-
-
-def induced(pages: list[str]) -> tuple[str, list[str]]:
-    """A host's wrapper from some of its pages: the content slot's path ('' without one) and the template's blocks.
+def slot_of(reference: Node, same: list[int], seen: list[int], pages: int) -> tuple[str, list[str]]:
+    """The content slot's path ('' without one) and the template's blocks, from counts over a host's pages for every element.
 
-    The first page is the reference; every other page is matched to it. An element's own text that stays the same in
+    ``same``: pages whose own text is the reference's, ``seen``: length of all own texts. An element's own text that stays the same in
     ``CONSTANT`` of the pages is template; the others vary, and the slot is the deepest element with ``SLOT`` of their text.
     """
-    trees = [t for t in (_skeleton(parsed(p)) for p in pages) if _size(t) <= FIT_NODES]
-    if len(trees) < 3:
+    if pages < 3:
         return "", []
-    reference = trees[0]
-    same = {id(n): 1 for n, _ in _paths(reference)}
-    seen = {id(n): [len(_own(n))] for n, _ in _paths(reference)}
-    for tree in trees[1:]:
-        for r, t in matching(reference, tree):
-            own = _own(t)
-            same[id(r)] += own == _own(r)
-            seen[id(r)].append(len(own))
-    least = max(3, CONSTANT * len(trees))
+    least = max(3, CONSTANT * pages)
     template, varying, order = [], {}, list(_paths(reference))
-    for node, path in order:
+    for at, (node, path) in enumerate(order):
         own = _own(node)
-        fixed = own and same[id(node)] >= least
+        fixed = own and same[at] >= least
         if fixed:
             template.append(f"{path}\t{own}")
-        varying[id(node)] = 0 if fixed else sum(seen[id(node)])
+        varying[id(node)] = 0 if fixed else seen[at]
     for node, _ in reversed(order):
         varying[id(node)] += sum(varying[id(c)] for c in node.elements())
     slot, at, path = "", reference, ""
@@ -319,6 +381,23 @@ def induced(pages: list[str]) -> tuple[str, list[str]]:
     return slot, template
 
 
+def induced(pages: list[str]) -> tuple[str, list[str]]:
+    """A host's wrapper from its pages: the content slot's path ('' without one) and the template's blocks.
+
+    The first page is the reference; every page is matched to it.
+    """
+    trees = [_skeleton(parsed(p)) for p in pages]
+    if len(trees) < 3:
+        return "", []
+    aligner = Aligner(trees[0])
+    same, seen = [0] * len(aligner.order), [0] * len(aligner.order)
+    for tree in trees:
+        for at, length, alike in aligner.votes(tree):
+            same[at] += alike
+            seen[at] += length
+    return slot_of(trees[0], same, seen, len(trees))
+
+
 def _name(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\t".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -341,49 +420,84 @@ def main_text(page: str, slot: str = "", template: frozenset[str] = frozenset(),
     return "\n".join(text for _, text in kept)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``host, slot`` for every host of ``host, html``, found on its ``FIT_PAGES`` different pages of lowest hash.
-
-    Only hashes are ranked, and a rank limit is applied before the shuffle, so a host with most of the pages costs no more.
-    """
-    named = pages.select("host", F.xxhash64("html").alias("hash")).distinct()
-    first = Window.partitionBy("host").orderBy("hash")
-    chosen = named.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= FIT_PAGES).drop("nth")
-    fitted = lookup_join(pages.withColumn("hash", F.xxhash64("html")), chosen, ["host", "hash"]).dropDuplicates(["host", "hash"])
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        slot, _ = induced(list(group.sort_values("hash")["html"]))
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "slot": [slot]})
-
-    return fitted.groupBy("host").applyInPandas(fit, "host string, slot string")
+def references(pages: DataFrame) -> DataFrame:
+    """``host, reference`` for every host of ``host, html``: the page of lowest hash among those with at most ``REFERENCE_TAGS`` tags,
+    or else with the fewest. Only numbers are compared, and they combine before the shuffle."""
+    tags = F.greatest(F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit(""))), F.lit(REFERENCE_TAGS))
+    lowest = pages.select("host", F.struct(tags.alias("tags"), F.xxhash64("html").alias("hash")).alias("x")).groupBy("host").agg(F.min("x").alias("x"))
+    chosen = lowest.select("host", F.col("x.hash").alias("hash"))
+    return lookup_join(pages.withColumn("hash", F.xxhash64("html")), chosen, ["host", "hash"]).groupBy("host").agg(F.min("html").alias("reference"))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """``host, template``: the names of the blocks that are constant among all of a host's pages that have their path.
+def read_pages(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``host, paths, blocks, votes``: every different page of a host, its blocks by name and its votes on the host's reference.
 
-    Pages with the same blocks count once. Counts combine before every shuffle.
+    Pages with the same blocks count once. A vote is a number: place, then length, then whether the text is the reference's.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligners: dict[str, Aligner] = {}
         for batch in batches:
-            pages_of, paths, blocks = [], [], []
-            for source in batch.column("html").to_pylist():
-                found = blocks_of(parsed(source))
+            pages_of, paths, blocks, votes = [], [], [], []
+            for host, source, reference in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference")), strict=True):
+                tree = parsed(source)
+                found = blocks_of(tree)
                 pages_of.append(_name(*[x for b in found for x in b]))
                 held = {_name(*b): _name(b[0]) for b in found}
                 blocks.append(list(held))
                 paths.append(list(held.values()))
+                if host not in aligners:
+                    if len(aligners) >= OPEN_HOSTS:
+                        aligners.pop(next(iter(aligners)))
+                    aligners[host] = Aligner(_skeleton(parsed(reference)))
+                votes.append([(at << 32) + 2 * length + same for at, length, same in aligners[host].votes(_skeleton(tree))])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("host"), pa.array(pages_of, pa.int64()), pa.array(paths, longs), pa.array(blocks, longs)], ["host", "page", "paths", "blocks"]
+                [batch.column("host"), pa.array(pages_of, pa.int64()), pa.array(paths, longs), pa.array(blocks, longs), pa.array(votes, longs)],
+                ["host", "page", "paths", "blocks", "votes"],
             )
 
-    found = mapped(pages.select("host", "html"), read, "host string, page long, paths array<long>, blocks array<long>", rows=500)
-    different = written(found.groupBy("host", "page").agg(F.first(F.struct("paths", "blocks")).alias("b")), "wrapper-pages")
-    spread = different.select("host", F.explode(F.arrays_zip(F.col("b.paths").alias("path"), F.col("b.blocks").alias("block"))).alias("x"))
+    about = chosen.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("reference")), F.lit(0)).alias("text")).first()
+    few = about["n"] <= broadcast_rows(pages.sparkSession) and about["text"] <= BROADCAST_TEXT
+    beside = pages.join(F.broadcast(chosen), "host") if few else salted_join(pages, chosen, ["host"])
+    found = mapped(beside.select("host", "html", "reference"), read, "host string, page long, paths array<long>, blocks array<long>, votes array<long>", rows=500)
+    different = found.groupBy("host", "page").agg(F.max(F.struct("paths", "blocks", "votes")).alias("b"))
+    return written(different.select("host", "b.*"), "wrapper-pages")
+
+
+def wrappers(different: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``host, slot`` for every host: the slot that all its different pages give by their votes (:func:`read_pages`)."""
+    vote = different.select("host", F.explode("votes").alias("v"))
+    low = F.col("v").bitwiseAND(0xFFFFFFFF)
+    counted = vote.groupBy("host", F.shiftright("v", 32).alias("at")).agg(F.sum(low % 2).alias("same"), F.sum(F.shiftright(low, 1)).alias("seen"))
+    # One row an element of the reference.
+    of_host = counted.groupBy("host").agg(F.collect_list(F.struct("at", "same", "seen")).alias("counts"))
+    known = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(of_host, "host").join(chosen, "host")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = []
+            for n, counts, reference in zip(*(batch.column(c).to_pylist() for c in ("pages", "counts", "reference")), strict=True):
+                tree = _skeleton(parsed(reference))
+                same = [0] * sum(1 for _ in _paths(tree))
+                seen = list(same)
+                for c in counts:
+                    same[c["at"]], seen[c["at"]] = c["same"], c["seen"]
+                slots.append(slot_of(tree, same, seen, n)[0])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(slots, pa.string())], ["host", "slot"])
+
+    return mapped(known, fit, "host string, slot string", rows=500)
+
+
+def templates(different: DataFrame) -> DataFrame:
+    """``host, template``: the names of the blocks that are constant among all of a host's pages that have their path.
+
+    Counts combine before every shuffle.
+    """
+    spread = different.select("host", F.explode(F.arrays_zip(F.col("paths").alias("path"), F.col("blocks").alias("block"))).alias("x"))
     often = spread.groupBy("host", "x.path", "x.block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
     often = written(often, "wrapper-blocks")
-    with_path = different.select("host", F.explode(F.array_distinct("b.paths")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
+    with_path = different.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages"))
     constant = lookup_join(often, with_path, ["host", "path"]).where(F.col("n") >= CONSTANT * F.col("pages"))
     return constant.groupBy("host").agg(F.collect_list("block").alias("template"))
 
@@ -396,8 +510,10 @@ def main_texts(df: DataFrame, key: str = "page_id", url: str = "url", page: str
     """
     plain = df.select(df[key].cast("long").alias("id"), df[url].cast("string").alias("url"), F.coalesce(df[page].cast("string"), F.lit("")).alias("html"))
     pages = plain.withColumn("host", host_of(F.col("url")))
-    constant = written(templates(pages), "templates")
-    fitted = written(wrappers(pages.select("host", "html")).join(constant, "host", "left"), "wrappers")
+    chosen = written(references(pages.select("host", "html")), "references")
+    different = read_pages(pages, chosen)
+    constant = written(templates(different), "templates")
+    fitted = written(wrappers(different, chosen).join(constant, "host", "left"), "wrappers")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

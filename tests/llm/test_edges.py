@@ -349,6 +349,47 @@ def test_template_is_counted_over_all_pages(spark):
     assert all(got[200 + i] == f"Number {i}" for i in range(4))
 
 
+def test_slot_is_found_on_all_pages_of_a_host(spark):
+    """The pages of lowest hash vary beside the story; only all pages together show where the text is."""
+    a = lambda i: f"<html><body><div class='x'><p>{f'offer {i} ' * 20}</p></div><div class='y'><p>Note {i}.</p></div></body></html>"
+    b = lambda i: f"<html><body><div class='x'><p>Same offer</p></div><div class='y'><p>{f'story {i} ' * 30}</p></div></body></html>"
+    made = spark.createDataFrame([("a", i, a(i)) for i in range(300)] + [("b", i, b(i)) for i in range(60)], "kind string, i int, html string")
+    hashed = made.selectExpr("*", "xxhash64(html) AS hash").orderBy("hash").collect()
+    low = [r for r in hashed if r["kind"] == "a"][:9]
+    high = [r for r in hashed if r["kind"] == "b" and r["hash"] > low[-1]["hash"]]
+    assert len(high) >= 40
+    rows = [(n, "http://a.com/x", r["html"]) for n, r in enumerate(low + high)]
+    pages = spark.createDataFrame(rows + rows, "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in wrapper.main_texts(pages).collect()}
+    assert all(got[9 + n] == (f"story {r['i']} " * 30).strip() for n, r in enumerate(high))
+    assert all(got[n] == f"Note {r['i']}." for n, r in enumerate(low))
+
+
+def test_tree_matching_pairs_most_elements():
+    """Against trying all order-keeping pairings of children."""
+    rng = np.random.default_rng(5)
+
+    def tree(depth: int) -> str:
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choice(["div", "ul", "section"], rng.integers(0, 4)))
+
+    def most(x, y) -> int:
+        if x.label != y.label:
+            return 0
+        left, right = x.elements(), y.elements()
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, c in enumerate(left):
+            for j, d in enumerate(right):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + most(c, d))
+        return best[-1][-1] + 1
+
+    aligner = wrapper.Aligner(wrapper.parsed(tree(3)))
+    for _ in range(40):
+        other = wrapper.parsed(tree(3))
+        pairs = aligner.pairs(other)
+        assert len(pairs) == most(aligner.reference, other) == len({id(y) for _, y in pairs})
+        assert all(x.label == y.label for x, y in pairs)
+
+
 def test_tree_matching_keeps_order():
     a, b = (wrapper.parsed(f"<div><h1>x</h1>{x}<h2>y</h2></div>") for x in ("<p>1</p><p>2</p><ul></ul>", "<ul></ul><p>2</p>"))
     labels = sorted(x.label for x, _ in wrapper.matching(a, b))
