@@ -12,7 +12,7 @@ from lapcast.functions.columns import unit_hash
 from lapcast.operators.evaluate import evaluate
 from lapcast.plans.ordered import arrange, ranked
 from lapcast.plans.skew import hot_keys, salted_join
-from lapcast.session import written
+from lapcast.session import block_rows, written
 
 
 def draw(kind: tuple, u: Column) -> Column:
@@ -131,21 +131,24 @@ def _prefix_medians(own: DataFrame, values: DataFrame, queries: DataFrame, run:
     both = values.unionByName(queries).withColumns(
         {"_run": F.coalesce("_run", F.lit(-1)), "_value": is_value, "_first": (~is_value).cast("int") * -1, "_neg": -F.col("_v")}
     )
-    hot = hot_keys(both, keys)
+    # A block holds at most the epoch's losses and as many queries, so short epochs need not be counted block by block.
+    longest = own.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hot = hot_keys(both, keys) if 2 * longest > block_rows(own.sparkSession) else None
     seen = F.when(F.col("_value"), F.col("_v"))
     # Upwards a query precedes equal losses, downwards it follows them: below is strict.
     up = arrange(both, keys, ["_v", "_first", "_run"], True, hot)
     up = up.running("below", "sum", F.col("_value").cast("long")).running("lower", "max", seen).finish()
-    down = arrange(both, keys, ["_neg", "_run"], True, hot)
+    # Without an over-full block both directions share one shuffle.
+    down = arrange(both if hot is not None else up, keys, ["_neg", "_run"], True, hot)
     down = down.running("above", "sum", F.col("_value").cast("long")).running("upper", "min", seen).finish()
-    none = F.lit(None)
-    counted = (
-        up.where(~F.col("_value")).select("epoch", "_run", "below", "lower", none.cast("long").alias("above"), none.cast("double").alias("upper"))
-        .unionByName(
-            down.where(~F.col("_value")).select("epoch", "_run", none.cast("long").alias("below"), none.cast("double").alias("lower"), "above", "upper")
+    told = down.where(~F.col("_value"))
+    if hot is not None:
+        none = F.lit(None)
+        told = up.where(~F.col("_value")).select("epoch", "_run", "below", "lower", none.cast("long").alias("above"), none.cast("double").alias("upper")).unionByName(
+            told.select("epoch", "_run", none.cast("long").alias("below"), none.cast("double").alias("lower"), "above", "upper")
         )
-        .groupBy("epoch", F.col("_run").alias("_nth"))
-        .agg(F.sum("below").alias("below"), F.sum("above").alias("above"), F.max("lower").alias("lower"), F.min("upper").alias("upper"))
+    counted = told.groupBy("epoch", F.col("_run").alias("_nth")).agg(
+        F.sum("below").alias("below"), F.sum("above").alias("above"), F.max("lower").alias("lower"), F.min("upper").alias("upper")
     )
     m, c, b = F.col("earlier_runs"), F.col("below"), F.col("best_so_far")
     worse = F.when(m % 2 == 1, c >= (m + 1) / 2).otherwise((c > m / 2) | ((c == m / 2) & (b > (F.col("lower") + F.col("upper")) / 2)))

@@ -190,6 +190,20 @@ def test_ecdf_and_histogram(spark):
     assert sum(r["height"] for r in prof.histogram(df, "n", 3, density=True).collect()) == near(1.0)
 
 
+def test_median_stop_shuffles_its_blocks_once(spark):
+    """Without an over-full epoch both directions of counting work on one layout."""
+    rows = [(r, e, float((r * 37 + e * 11) % 23)) for r in range(12) for e in range(1, 7)]
+    told = runs.median_stop(spark.createDataFrame(rows, "run_id long, epoch int, val_loss double"), 5, 3)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
+    losses = {(r, e): v for r, e, v in rows}
+    for t in told.collect():
+        r, e = t["run_id"], t["epoch"]
+        earlier = sorted(losses[i, e] for i in range(r)) if r >= 5 and e > 3 else []
+        best, n = min(losses[r, k] for k in range(1, e + 1)), len(earlier)
+        median = (earlier[(n - 1) // 2] + earlier[n // 2]) / 2 if n else 0
+        assert (t["best_so_far"], t["earlier_runs"], t["stop"]) == (best, n, bool(n) and best > median)
+
+
 def test_median_stop_ties_go_on(spark):
     rows = [(r, 4, float(r)) for r in range(5)] + [(5, 4, 2.0), (6, 4, 2.5)]
     df = spark.createDataFrame(rows, "run_id int, epoch int, val_loss double")
