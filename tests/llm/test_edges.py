@@ -349,6 +349,16 @@ def test_template_is_counted_over_all_pages(spark):
     assert all(got[200 + i] == f"Number {i}" for i in range(4))
 
 
+@pytest.mark.parametrize("text", ["", "word", "Caf\u00e9 \u00fcber 12,5% ok. <|x|>", "\u6f22\u5b57 \U0001f600 a\tb\n" * 50])
+def test_ids_are_those_of_the_tokenizer(text):
+    import public_tokenizers
+    from lapcast.llm import packing
+
+    known = packing._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    want = np.array(known.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert known.encoded(text) == want == packing.token_ids(text.encode(), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_slot_is_found_on_all_pages_of_a_host(spark):
     """The pages of lowest hash vary beside the story; only all pages together show where the text is."""
     a = lambda i: f"<html><body><div class='x'><p>{f'offer {i} ' * 20}</p></div><div class='y'><p>Note {i}.</p></div></body></html>"
