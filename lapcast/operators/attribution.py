@@ -177,7 +177,7 @@ def attributions(
                 feature = pa.DictionaryArray.from_arrays(np.tile(np.arange(len(names), dtype=np.int32), n * len(steps) * len(levels)), pa.array(names, pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).take(again) for c in keep], pa.array(horizon_of), pa.array(quantile_of), feature.cast(pa.string()),
-                     pa.array(share.transpose(1, 2, 3, 0).ravel()), pa.array(error.transpose(1, 2, 3, 0).ravel())],
+                     *[pa.array(x.transpose(1, 2, 3, 0).ravel(), from_pandas=True) for x in (share, error)]],
                     schema.names,
                 )
 

@@ -169,6 +169,20 @@ def test_windows_with_missing_values_go_to_the_model_of_rows(small):
     assert rows(both) == pytest.approx(rows(plain), rel=1e-9, abs=1e-9)
 
 
+def test_shares_without_a_number_are_null(small):
+    holed = small.selectExpr("id", "transform(past, (x, i) -> named_struct('v', if(id = 7 and i = 1, null, if(id = 8, double('NaN'), x.v)))) AS past")
+
+    def total():
+        return lambda batch: np.array([[sum(np.nan if r["v"] is None else r["v"] for r in rows)] * 9 for rows in batch["past"]])
+
+    total.arrays = lambda: lambda past, batch: np.repeat(past["v"].sum(axis=1)[:, None], 9, axis=1)
+    against = attr.background(small.where("id not in (7, 8)").select("id", F.expr("transform(past, x -> named_struct('v', x.v))").alias("past")), ["id"], 2)
+    got = attr.attributions(holed, total, attr.by_position(["v"], 3), against, ["id"], pairs=1).collect()
+    assert len(got) == 30 * 9 * 3 and all(r["share"] is None for r in got if r["id"] == 8)
+    assert all((r["share"] is None) == (r["id"] in (7, 8)) or r["id"] == 7 for r in got)
+    assert any(r["share"] is None for r in got if r["id"] == 7)
+
+
 def test_mean_shares_add_up_to_one(small):
     rows = attr.attributions(small, linear, attr.by_position(["v", "w"], 3, 2), attr.background(small, ["id"], 2), ["id"], pairs=1)
     shares = {r["feature"]: r["share"] for r in attr.mean_shares(rows).collect()}
