@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lapcast.roles import Roles
-from lapcast.streaming.live import _newest, _plain
+from lapcast.streaming.live import _newest
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -49,101 +50,115 @@ def _combined(keys: list[str], order: list[str], length: int, flush: int = 200_0
         return pd.concat([kept, some], ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held, size, least = [], 0, 0
         for batch in batches:
-            held = squeeze(batch if held is None else pd.concat([held, batch], ignore_index=True))
-            if len(held) > flush:
-                yield held
-                held = None
-        if held is not None and len(held):
-            yield held
+            held.append(batch)
+            size += len(batch)
+            # Rows kept are squeezed again only with as many new ones, so a row is sorted a bounded number of times.
+            if size > max(2 * least, flush // 4):
+                held = [squeeze(pd.concat(held, ignore_index=True))]
+                size = least = len(held[0])
+                if size > flush:
+                    yield held[0]
+                    held, size, least = [], 0, 0
+        if size:
+            yield squeeze(pd.concat(held, ignore_index=True))
 
     return run
 
 
 class _Sessions(StatefulProcessor):
-    """Opens, updates and ends the window of one series."""
+    """Opens, updates and ends the window of one series.
+
+    A series has one state value and one timer, which its newest time tells, so a micro-batch costs it one read and one write.
+    The window's rows are stored as one pickled list, as converting every value of every row is most of a read or write otherwise.
+    """
 
     def __init__(self, names, keys, order, state_fields, length, idle, delay, reach):
-        self.names, self.keys, self.order, self.fields = names, keys, order, state_fields
+        self.length = length
         self.stored = stored = [f.name for f in state_fields]
-        self.length, self.idle, self.delay, self.reach = length, idle * 1000, delay * 1000, reach * 1000
+        self.idle, self.delay, self.reach = idle * 1000, delay * 1000, reach * 1000
         self.at = [stored.index(c) for c in order]
+        # Names that are no Python names may arrive changed, so values are taken by place.
+        self.places = [names.index(c) for c in stored]
+        self.time, self.floor, self.count, self.full = (names.index(c) for c in (_TIME, _FLOOR, _COUNT, _FULL))
+        self.out = Row(*keys, "opened", "version", "state", "newest", "n_rows", "late", "stale", "rows")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", T.StructType(self.fields))
-        self.about = handle.getValueState("about", "opened long, newest long, version long, late long")
+        self.about = handle.getValueState("about", "opened long, newest long, version long, late long, rows binary")
 
     def _clock(self, timers) -> int | None:
         """The newest event time of earlier micro-batches, in ms."""
         mark = timers.getCurrentWatermarkInMs()
         return mark + self.reach if mark > 0 else None
 
-    def _row(self, key, about, rows, state, stale=0) -> pd.DataFrame:
-        opened, newest, version, late = about
-        return pd.DataFrame({
-            **{k: [v] for k, v in zip(self.keys, key)}, "opened": [opened], "version": [version], "state": [state], "newest": [newest],
-            "n_rows": pd.Series([len(rows)], dtype="int32"), "late": [late], "stale": [stale],
-            "rows": [[dict(zip(self.stored, r)) for r in rows]],
-        })
-
-    def _end(self, key, about) -> pd.DataFrame:
-        opened, newest, version, late = about
-        out = self._row(key, (opened, newest, version + 1, late), list(self.rows.get()), "expired")
-        self.rows.clear()
+    def _timer(self, newest: int) -> int:
+        return newest // 1000 + self.idle - self.reach
+
+    def _known(self) -> tuple | None:
+        about = self.about.get()
+        return None if about is None else (*about[:4], pickle.loads(bytes(about[4])))
+
+    def _row(self, key, about, state, stale=0) -> Row:
+        opened, newest, version, late, rows = about
+        return self.out(*key, opened, version, state, newest, len(rows), late, stale, [dict(zip(self.stored, r)) for r in rows])
+
+    def _end(self, key, about) -> Row:
+        opened, newest, version, late, rows = about
         self.about.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        return out
+        return self._row(key, (opened, newest, version + 1, late, rows), "expired")
+
+    def _last(self, held: dict) -> dict:
+        """The newest ``length`` rows, oldest first; nulls are last."""
+        places = sorted(held, key=lambda k: [(v is None, v) for v in k])[-self.length :]
+        return {k: held[k] for k in places}
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         clock = self._clock(timerValues)
-        about = self.about.get() if self.about.exists() else None
-        if about is not None and clock is not None and about[1] // 1000 + self.idle <= clock:
+        about = self._known()
+        before = None if about is None else about[1]
+        if about is not None and clock is not None and before // 1000 + self.idle <= clock:
             yield self._end(key, about)
             about = None
-        held = {tuple(r[i] for i in self.at): tuple(r) for r in self.rows.get()} if about is not None else {}
-        opened, newest, version, late = about or (None, None, 0, 0)
+        opened, newest, version, late, kept = about or (None, None, 0, 0, [])
+        held = {tuple(r[i] for i in self.at): r for r in kept}
         stale = 0
-        for chunk in rows:
-            # Names that are no Python names arrive changed, so they are given by place.
-            chunk = chunk.set_axis(self.names, axis=1)
-            floor = chunk[_FLOOR] // 1000
-            if about is None and clock is not None:
-                old = floor + self.idle <= clock
-                stale += int(chunk.loc[old, _COUNT].sum())
-                chunk, floor = chunk[~old], floor[~old]
-            if chunk.empty:
+        for row in rows:
+            floor = row[self.floor]
+            if clock is not None and floor is not None:
+                if about is None and floor // 1000 + self.idle <= clock:
+                    stale += row[self.count]
+                    continue
+                if floor // 1000 <= clock - self.delay:
+                    late += row[self.count]
+            if about is None and floor is not None:
+                opened = floor if opened is None else min(opened, floor)
+            if not row[self.full]:
                 continue
-            if clock is not None:
-                late += int(chunk.loc[floor <= clock - self.delay, _COUNT].sum())
-            if about is None:
-                first = int(chunk[_FLOOR].min())
-                opened = first if opened is None else min(opened, first)
-            chunk = chunk[chunk[_FULL]].sort_values(self.order, kind="stable").tail(self.length)
-            if chunk.empty:
-                continue
-            newest = max(int(chunk[_TIME].max()), newest if newest is not None else -(2**63))
-            for r in zip(*[_plain(chunk[c]) for c in self.stored]):
-                held[tuple(r[i] for i in self.at)] = r
-            held = {k: held[k] for k in sorted(held)[-self.length :]}
+            if row[self.time] is not None:
+                newest = row[self.time] if newest is None else max(newest, row[self.time])
+            r = tuple(row[i] for i in self.places)
+            held[tuple(r[i] for i in self.at)] = r
+            if len(held) >= 2 * self.length + 100:
+                held = self._last(held)
         if stale:
-            yield self._row(key, (None, None, 0, 0), [], "stale", stale)
-        if newest is None:
-            return
-        about = (opened, newest, version + 1, late)
-        kept = [held[k] for k in sorted(held)]
-        self.rows.put(kept)
-        self.about.update(about)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(newest // 1000 + self.idle - self.reach)
-        yield self._row(key, about, kept, "open")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.about.exists():
-            yield self._end(key, self.about.get())
+            yield self._row(key, (None, None, 0, 0, []), "stale", stale)
+        if newest is not None:
+            about = (opened, newest, version + 1, late, [*self._last(held).values()])
+            self.about.update((*about[:4], pickle.dumps(about[4])))
+        if before != newest:
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            if newest is not None:
+                self.handle.registerTimer(self._timer(newest))
+        if newest is not None:
+            yield self._row(key, about, "open")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        about = self._known()
+        if about is not None:
+            yield self._end(key, about)
 
     def close(self) -> None:
         pass
@@ -182,7 +197,7 @@ def stream_sessions(
         T.StructField("late", T.LongType()), T.StructField("stale", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType(held))),
     ])
     processor = _Sessions(marked.columns, keys, order, held, length, idle, delay, reach)
-    made = dealt.withWatermark("_clock", f"{reach} seconds").groupBy(*keys).transformWithStateInPandas(processor, outputStructType=out, outputMode="append", timeMode="EventTime")
+    made = dealt.withWatermark("_clock", f"{reach} seconds").groupBy(*keys).transformWithState(processor, outputStructType=out, outputMode="append", timeMode="EventTime")
     return made.withColumns({"opened": F.timestamp_micros("opened"), "newest": F.timestamp_micros("newest")})
 
 

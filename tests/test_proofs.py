@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapcast.catalog import forecasts as cat
 from lapcast.catalog import proofs
@@ -185,6 +186,78 @@ def test_idle_series_leave_and_late_is_not_stale(spark, tmp_path):
     assert stale == {2: 1}
 
 
+def test_rows_without_a_key_stay_apart_from_other_series(spark, tmp_path):
+    """All series meet in one task; the key is null in some rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = [(u, h, 10 * h + (u or 0)) for h in range(4) for u in (1, None, 2, 3)]
+        found = deliver(spark, tmp_path, [rows[:10], rows[10:]], idle=10 * 3600, delay=5 * 3600, reach=1000 * 3600)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    ids = {r["user_id"]: [x["event_id"] for x in r["rows"]] for r in found}
+    assert ids == {u: [10 * h + (u or 0) for h in (1, 2, 3)] for u in (1, None, 2, 3)} and len(found) == 4
+
+
+class _Counted:
+    """A state handle that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = [], None, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def __getattr__(self, name):
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return lambda *a: self.calls.append(name) or getattr(self, f"_{name}")(*a)
+
+    def _get(self):
+        return self.value
+
+    def _update(self, value):
+        self.value = value
+
+    def _clear(self):
+        self.value = None
+
+    def _registerTimer(self, at):
+        self.timers.add(at)
+
+    def _deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_a_series_costs_a_micro_batch_few_state_calls():
+    names = ["u", "ts", "id", "_clock", "_us", "_floor", "_n", "_full"]
+    fields = [T.StructField("ts", T.LongType()), T.StructField("id", T.LongType())]
+    processor, handle, second = sessions._Sessions(names, ["u"], ["ts", "id"], fields, 3, 100, 50, 1000), _Counted(), 1_000_000
+    processor.init(handle)
+
+    class At:
+        def __init__(self, clock):
+            self.getCurrentWatermarkInMs = lambda: clock * 1000 - 1_000_000
+
+    rows = lambda *ids: iter([(1, i, i, None, i * second, i * second, 1, True) for i in ids])
+    out = [*processor.handleInputRows((1,), rows(2000, 2001), At(0))]
+    assert handle.calls == ["get", "update", "registerTimer"] and [r["state"] for r in out] == ["open"]
+    handle.calls.clear()
+    out = [*processor.handleInputRows((1,), rows(2003, 2002, 2002), At(2001))]
+    assert handle.calls == ["get", "update", "deleteTimer", "registerTimer"] and handle.timers == {2003_000 + 100_000 - 1_000_000}
+    assert [x["id"] for x in out[0]["rows"]] == [2001, 2002, 2003]
+    handle.calls.clear()
+    out = [*processor.handleInputRows((1,), rows(1950), At(2003))]  # late, and older than the window
+    assert handle.calls == ["get", "update"] and out[0]["late"] == 1 and [x["id"] for x in out[0]["rows"]] == [2001, 2002, 2003]
+    handle.calls.clear()
+    out = [*processor.handleInputRows((1,), rows(2150, 1999), At(2110))]  # the window ends, one row opens the next, one is stale
+    assert handle.calls == ["get", "clear", "update", "deleteTimer", "registerTimer"] and handle.timers == {2150_000 + 100_000 - 1_000_000}
+    assert [(r["state"], r["stale"], [x["id"] for x in r["rows"]]) for r in out] == [("expired", 0, [2001, 2002, 2003]), ("stale", 1, []), ("open", 0, [2150])]
+    handle.calls.clear()
+    out = [*processor.handleExpiredTimer((1,), At(2250), None)]
+    assert handle.calls == ["get", "clear"] and out[0]["state"] == "expired" and handle.value is None
+
+
 def test_reach_must_exceed_the_other_times(spark):
     stream = spark.readStream.format("rate").load().selectExpr("value AS user_id", "timestamp AS ts", "value AS event_id", "1.0D AS value")
     with pytest.raises(ValueError, match="reach"):
