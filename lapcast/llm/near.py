@@ -194,8 +194,8 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     its smallest id, and have a null component if none is there. Only the two named columns are read.
 
     In every bucket each class is compared with the bucket's smallest one, then with three others, among them the one that shares most buckets with others, and only pairs
-    that are still in different components after that are compared one by one, by the codes of their registers first; so
-    a bucket of copies costs its length.
+    that are still in different components after that are compared one by one, once for all their buckets and by the codes
+    of their registers first; so a bucket of copies costs its length.
     """
     rows = written(sketches(df, key, text), "near-sketch")
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("_n"))
@@ -236,14 +236,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
             found = found.distinct().join(named, "hub", "left").where("group <> coalesce(hub_group, hub)")
             fresh = pair(found, "hub", "node")
         else:
-            # Nothing inside a bucket's largest component needs comparing, only the others with all.
-            counted = left.groupBy("key", "group").agg(F.count(F.lit(1)).alias("k"))
-            major = counted.groupBy("key").agg(F.max(F.struct("k", "group"))["group"].alias("major"))
-            coded = left.select("key", "node", "group").join(nodes.select("node", F.struct("node", "n", *CODES).alias("code")), "node").join(major, "key")
-            x = coded.select("key", F.col("code").alias("x"), F.col("group").alias("gx"), "major")
-            y = coded.where("group <> major").select("key", F.col("code").alias("y"), F.col("group").alias("gy"))
-            apart = (F.col("gx") != F.col("gy")) & ((F.col("gx") == F.col("major")) | (F.col("gx") < F.col("gy")))
-            fresh = pair(x.join(y, "key").where(apart & may_link("x", "y", percent)), "x.node", "y.node")
+            fresh = _bucket_pairs(left, nodes, percent).distinct()
         fresh = written(fresh.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = links.unionByName(confirmed(fresh))
         groups = components(links, "a", "b")
@@ -260,6 +253,25 @@ def _grouped(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
 
 
+def _bucket_pairs(placed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of different groups that share a bucket and may be links, each once; ``placed`` has ``key, node, group``.
+
+    Rows know all their buckets, so a pair is made in its first common one only, not in each of up to ``BANDS``.
+    Nothing inside a bucket's largest group needs comparing, only the others with all.
+    """
+    counted = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("k"))
+    major = counted.groupBy("key").agg(F.max(F.struct("k", "group"))["group"].alias("major"))
+    keys = placed.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    code = nodes.join(keys, "node").select("node", F.struct("node", "n", "keys", *CODES).alias("code"))
+    coded = placed.select("key", "node", "group").join(code, "node").join(major, "key")
+    x = coded.select("key", F.col("code").alias("x"), F.col("group").alias("gx"), "major")
+    y = coded.where("group <> major").select("key", F.col("code").alias("y"), F.col("group").alias("gy"))
+    apart = (F.col("gx") != F.col("gy")) & ((F.col("gx") == F.col("major")) | (F.col("gx") < F.col("gy")))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")
+    met = x.join(y, "key").where(apart & may_link("x", "y", percent) & first)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows without those whose component has a smaller id; rows with a null id stay."""
     dropped = linked(df, key, text, percent).where("id <> component").select(F.col("id").alias("_dropped")).distinct()

@@ -163,6 +163,21 @@ def test_chain_and_crowd_of_near_duplicates(spark):
     assert {r["id"]: (r["n"], r["component"]) for r in got} == want
 
 
+def test_texts_that_share_many_buckets_are_compared_once(spark):
+    words = [f"w{i}" for i in range(300)]
+    changed = lambda n: " ".join("x" if i % n == n - 1 else w for i, w in enumerate(words))
+    df = spark.createDataFrame([(1, " ".join(words)), (2, changed(150)), (3, changed(140)), (4, "nothing like it at all")], "doc_id long, text string")
+    nodes = near.sketches(df).withColumnRenamed("id", "node").cache()
+    kept = {r["node"]: np.array(r["bands"]) for r in nodes.collect()}
+    assert np.sum(kept[2] == kept[3]) > 5
+    placed = nodes.selectExpr("explode(bands) AS key", "node").selectExpr("key", "node", "node AS group")
+    found = near._bucket_pairs(placed, nodes, 85)
+    assert sorted(map(tuple, found.collect())) == [(1, 2), (1, 3), (2, 3)]
+    for group, pairs in (("least(node, 2)", [(1, 2), (1, 3)]), ("1", [])):
+        found = near._bucket_pairs(placed.selectExpr("key", "node", f"{group} AS group"), nodes, 85)
+        assert sorted(map(tuple, found.collect())) == pairs
+
+
 def test_katz_without_training_texts(spark):
     held = [d for d in range(200) if brute.held_out(d)][:3]
     got = katz.katz_scores(spark.createDataFrame([(d, "some words") for d in held], "doc_id long, text string")).collect()
