@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch's columns that a function sees at a time, if that is not a single row.
+SLICE_BYTES = 1 << 19
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,9 +53,16 @@ def spans_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
-    """``mapInArrow`` that sees at most ``rows`` rows at a time, so that a batch of long texts stays small."""
+    """``mapInArrow`` that sees at most ``rows`` rows at a time, and of long ones about ``SLICE_BYTES``.
+
+    What a function makes of a text is many times its length, so the slice decides what a task holds.
+    """
+
+    def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(rows, SLICE_BYTES * b.num_rows // max(b.nbytes, 1)))
+        return (b.slice(i, step) for i in range(0, b.num_rows, step))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return f(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        return f(piece for b in batches for piece in pieces(b))
 
     return df.mapInArrow(sliced, schema)

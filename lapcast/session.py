@@ -16,6 +16,10 @@ BLOCK_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of a batch that goes to Python, unless the session has its own setting. Spark's row limit alone lets a task's
+#: texts pass as one batch, which both the executor and its Python workers then hold outside the heap.
+ARROW_BYTES = "2m"
+
 #: What the open ``scratch`` blocks, outermost first, have to release.
 _SCOPES: ContextVar[tuple[list[Callable[[], object]], ...]] = ContextVar("scopes", default=())
 
@@ -105,6 +109,20 @@ def held(df: DataFrame) -> DataFrame:
     return df
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside send batches of about ``ARROW_BYTES`` to Python; a setting of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None) is not None
+    if not own:
+        spark.conf.set(name, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(name)
+
+
 def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Compute once into a Parquet table in the shared folder: later scans prune columns.
 
@@ -118,5 +136,6 @@ def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     _released_later(remove, int(keep))
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.parquet(path)
