@@ -76,7 +76,7 @@ def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
         names = ["id", "row", "no", "size", "line"]
         for batch in batches:
             h, _, first, size, row, number = _line_sets(batch.column("text"))
-            counts += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+            np.add.at(counts, (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             if not len(first):
                 continue
             # The set's name: a sum over its words, so their order does not matter.
@@ -85,10 +85,12 @@ def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
             arrays = [pa.array(ids[row[long]]), pa.array(keys[row[long]]), pa.array(number[long], pa.int32()), pa.array(size[long], pa.int32()), pa.array(line[long].view(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, names)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(np.zeros(len(used), dtype=np.int32)), pa.nulls(len(used), pa.int64())], names
-        )
+        every = np.flatnonzero(counts)
+        for i in range(0, len(every), 1 << 16):
+            used = every[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(np.zeros(len(used), dtype=np.int32)), pa.nulls(len(used), pa.int64())], names
+            )
 
     seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long", rows=500), "lines")
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
