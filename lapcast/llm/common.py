@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Bytes of a batch's columns that a function sees at a time, if that is not a single row.
+#: For functions that make of a text many times its length: bytes of a batch's columns that they see at a time, if that is
+#: not a single row.
 SLICE_BYTES = 1 << 19
 
 
@@ -52,14 +53,11 @@ def spans_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends - lengths, ends
 
 
-def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
-    """``mapInArrow`` that sees at most ``rows`` rows at a time, and of long ones about ``SLICE_BYTES``.
-
-    What a function makes of a text is many times its length, so the slice decides what a task holds.
-    """
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000, size: int | None = None) -> DataFrame:
+    """``mapInArrow`` that sees at most ``rows`` rows at a time, and of long ones about ``size`` bytes, so that a batch of long texts stays small."""
 
     def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        step = max(1, min(rows, SLICE_BYTES * b.num_rows // max(b.nbytes, 1)))
+        step = rows if size is None else max(1, min(rows, size * b.num_rows // max(b.nbytes, 1)))
         return (b.slice(i, step) for i in range(0, b.num_rows, step))
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,10 +12,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapcast.llm.common import id_and_text, mapped
+from lapcast.llm.common import SLICE_BYTES, id_and_text, mapped
 from lapcast.llm.hashing import Words, hashed
 from lapcast.plans.skew import lookup_join
-from lapcast.session import written
+from lapcast.session import small_batches, written
 
 WINDOW = 10
 #: Item words in one automaton; more items are matched block by block.
@@ -138,7 +138,7 @@ def blocks(items: DataFrame, key: str, text: str, window: int, block_words: int)
             lists = [w.hashes[lo:hi].view(np.int64) for lo, hi in zip(*w.of_rows(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lists, pa.list_(pa.int64()))], ["id", "words"])
 
-    rows = mapped(id_and_text(items, key, text), numbered, "id long, words array<long>")
+    rows = mapped(id_and_text(items, key, text), numbered, "id long, words array<long>", size=SLICE_BYTES)
     held, size = [], 0
     for row in rows.where(F.size("words") > 0).toLocalIterator():
         if held and size + len(row["words"]) > block_words:
@@ -193,7 +193,7 @@ def _matched(spark: SparkSession, texts: DataFrame, machine: Automaton) -> tuple
             )
 
     schema = "row long, id long, n_words long, spans array<struct<first:long,last:long,start:long,end:long>>, items array<long>"
-    return mapped(texts, stream, schema), shared
+    return mapped(texts, stream, schema, size=SLICE_BYTES), shared
 
 
 def matched(
@@ -262,9 +262,10 @@ def cleaned(
     fields = df.columns
     known = F.xxhash64(df[key].cast("long"), df[text].cast("string"))
     marked = df.select(F.struct(*[df[c] for c in fields]).alias("_row"), known.alias("_k"), df[text].cast("string").alias("_text"))
-    found = matched(marked.select("_k", "_text"), items, "_k", "_text", window=window, block_words=block_words)
-    hits = found.where(F.size("spans") > 0).select(F.col("id").alias("_k"), "spans", "n_words")
-    hits = written(hits, "leaks-hits").dropDuplicates(["_k"])
+    with small_batches(df.sparkSession):
+        found = matched(marked.select("_k", "_text"), items, "_k", "_text", window=window, block_words=block_words)
+        hits = found.where(F.size("spans") > 0).select(F.col("id").alias("_k"), "spans", "n_words")
+        hits = written(hits, "leaks-hits").dropDuplicates(["_k"])
     joined = lookup_join(marked, hits, ["_k"], "left").where(
         F.col("spans").isNull() | (hit_words(F.col("spans")) <= coverage * F.col("n_words"))
     )

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapcast.llm.common import SPACE, id_and_text, mapped
+from lapcast.llm.common import SLICE_BYTES, SPACE, id_and_text, mapped
 from lapcast.llm.hashing import hashed, mixed
 from lapcast.plans.skew import lookup_join, salted_join
-from lapcast.session import block_rows, scratch, written
+from lapcast.session import block_rows, scratch, small_batches, written
 
 #: Similarity in hundredths; lines of fewer distinct words are left alone, which with 1 are only those without any.
 PERCENT, LEAST_WORDS = 80, 1
@@ -92,7 +92,7 @@ def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
                 [pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(np.zeros(len(used), dtype=np.int32)), pa.nulls(len(used), pa.int64())], names
             )
 
-    seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long", rows=500), "lines")
+    seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long", rows=500, size=SLICE_BYTES), "lines")
     counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
     summed = seen.where("line IS NULL").groupBy("no").agg(F.sum("id").alias("n")).toArrow()
     counts[summed["no"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 32) - 1).astype(np.uint32)
@@ -151,7 +151,7 @@ def _prefixes(texts: DataFrame, rarity: np.ndarray, n_lines: int, percent: int,
                 _ROW,
             )
 
-    return mapped(texts, emit, "token long, line long, size int, pos int, small boolean, sketch long", rows=500)
+    return mapped(texts, emit, "token long, line long, size int, pos int, small boolean, sketch long", rows=500, size=SLICE_BYTES)
 
 
 def _may_match(x: str, y: str, percent: int) -> Column:
@@ -278,7 +278,7 @@ def later_lines(df: DataFrame, key: str = "doc_id", text: str = "text", percent:
     frequent key every line meets the key's earliest one. Each line is verified against its earliest candidate first,
     and only lines without that match against the others, so a bucket of variants of one line costs its length.
     """
-    with scratch():
+    with scratch(), small_batches(df.sparkSession):
         return _later(df, key, text, percent, least)
 
 

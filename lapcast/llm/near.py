@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapcast.llm.common import id_and_text, mapped
+from lapcast.llm.common import SLICE_BYTES, id_and_text, mapped
 from lapcast.llm.graph import components
 from lapcast.llm.hashing import hashed, mixed, shingles
 from lapcast.plans.skew import lookup_join, salted_join
-from lapcast.session import written
+from lapcast.session import small_batches, written
 
 WIDTH = 5
 #: A register is 16 bits: the number of leading zeros plus one, and the next ten bits; 0 is an empty bucket.
@@ -134,7 +134,7 @@ def sketches(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             )
 
     schema = "id long, n long, d1 long, d2 long, registers binary, bands array<long>, " + ", ".join(f"{c} long" for c in CODES)
-    return mapped(id_and_text(df, key, text), sketch, schema, rows=500)
+    return mapped(id_and_text(df, key, text), sketch, schema, rows=500, size=SLICE_BYTES)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int)
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     placed = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return mapped(placed, confirm, "a long, b long", rows=500)
+    return mapped(placed, confirm, "a long, b long", rows=500, size=SLICE_BYTES)
 
 
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -197,6 +197,11 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int
     that are still in different components after that are compared one by one, once for all their buckets and by the codes
     of their registers first; so a bucket of copies costs its length.
     """
+    with small_batches(df.sparkSession):
+        return _linked(df, key, text, percent)
+
+
+def _linked(df: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     rows = written(sketches(df, key, text), "near-sketch")
     classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("_n"))
     classes = written(classes, "near-classes")

@@ -111,7 +111,7 @@ def held(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside send batches of about ``ARROW_BYTES`` to Python; a setting of the session's own stays."""
+    """Tables written inside send batches of about ``ARROW_BYTES`` to Python; a setting of the session's own stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     own = spark.conf.get(name, None) is not None
     if not own:
@@ -136,6 +136,5 @@ def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     _released_later(remove, int(keep))
-    with small_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.parquet(path)

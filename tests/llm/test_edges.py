@@ -6,8 +6,8 @@ import pytest
 import brute
 import corpus_pipeline
 from lapcast.llm import katz, leaks, lines, near, packing, private, rules, secrets, urls, wrapper
-from lapcast.llm.common import mapped
-from lapcast.session import written
+from lapcast.llm.common import SLICE_BYTES, mapped
+from lapcast.session import small_batches, written
 
 LONG = " ".join(f"word{i % 977} is number{i}." for i in range(30_000))
 TEXTS = [
@@ -192,20 +192,23 @@ def _seen():
 
 def test_a_function_sees_few_long_texts_at_a_time(spark):
     long = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('some words ', 20000) AS text")
-    assert {r["n"] for r in mapped(long, _seen(), "n long, bytes long").collect()} <= {1, 2, 3}
+    assert {r["n"] for r in mapped(long, _seen(), "n long, bytes long", size=SLICE_BYTES).collect()} <= {1, 2, 3}
     short = spark.range(0, 1000, 1, 1).selectExpr("id", "'two words' AS text")
-    assert [r["n"] for r in mapped(short, _seen(), "n long, bytes long", rows=500).collect()] == [500, 500]
+    assert [r["n"] for r in mapped(short, _seen(), "n long, bytes long", rows=500, size=SLICE_BYTES).collect()] == [500, 500]
 
 
-def test_written_tables_send_small_batches_to_python(spark):
+def test_small_batches_go_to_python_inside_the_block(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     texts = spark.range(0, 9000, 1, 1).selectExpr("repeat('some words ', 100) AS text").mapInArrow(_seen(), "n long, bytes long")
-    found = written(texts, "batches").collect()
+    with small_batches(spark):
+        found = written(texts, "batches").collect()
     assert sum(r["n"] for r in found) == 9000 and max(r["bytes"] for r in found) < 3 << 20
     assert spark.conf.get(name, None) is None
     spark.conf.set(name, "64m")
     try:
-        assert len(written(texts, "batches").collect()) == 1 and spark.conf.get(name) == "64m"
+        with small_batches(spark):
+            assert len(written(texts, "batches").collect()) == 1
+        assert spark.conf.get(name) == "64m"
     finally:
         spark.conf.unset(name)
 
