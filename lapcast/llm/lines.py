@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapcast.llm.common import SLICE_BYTES, SPACE, id_and_text, mapped
+from lapcast.llm.common import SLICE_BYTES, id_and_text, mapped
 from lapcast.llm.hashing import hashed, mixed
 from lapcast.plans.skew import lookup_join, salted_join
 from lapcast.session import block_rows, scratch, small_batches, written
@@ -19,6 +19,11 @@ PERCENT, LEAST_WORDS = 80, 1
 #: Words are counted in so many buckets, which bounds the table that every task gets. Words that share a bucket
 #: share a rarity; the order stays the same total order everywhere, so this touches speed, never results.
 BUCKET_BITS = 22
+#: Tables of all buckets are added up in so many parts, so that the driver gets one row for each part, whatever the corpus.
+PART_BITS = 6
+#: Bits of the table that tells tasks which lines are to be compared word by word, as a power of two: it bounds what every
+#: task gets; lines that share a bit with a wanted one travel in vain.
+WANTED_BITS = 27
 #: Words that stand in so many lines or more share a rarity.
 MOST = np.uint64((1 << 24) - 1)
 #: Lines that share a key are compared where the key's rows meet while they are at most so many; larger groups take joins
@@ -50,6 +55,15 @@ def _count(hashes: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return rarity[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64)
 
 
+def _by_line(line: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by ``line`` (which ascends), ``rank`` and ``h``: one sort of line and highest bits of rank, unless these tie for two words."""
+    bits = np.uint64(max(int(line[-1]).bit_length(), 1) if len(line) else 1)
+    both = line.astype(np.uint64) << (np.uint64(64) - bits) | rank >> bits
+    order = np.argsort(both)
+    tied = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+    return np.lexsort((h, rank, line)) if (h[order[tied]] != h[order[tied + 1]]).any() else order
+
+
 def _line_sets(column: pa.Array, rarity: np.ndarray | None = None):
     """The distinct words of every line, line by line, rarest first if counts are given.
 
@@ -57,7 +71,7 @@ def _line_sets(column: pa.Array, rarity: np.ndarray | None = None):
     """
     h, line, number, row = _line_words(column)
     rank = h if rarity is None else np.minimum(_count(h, rarity), MOST) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
-    order = np.lexsort((h, rank, line)) if rarity is not None else np.lexsort((h, line))
+    order = _by_line(line, rank, h)
     h, line, rank = h[order], line[order], rank[order]
     fresh = np.ones(len(h), dtype=bool)
     fresh[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -68,15 +82,39 @@ def _line_sets(column: pa.Array, rarity: np.ndarray | None = None):
     return h, rank, first, size, row[order[first]], number[order[first]]
 
 
+def _added(parts: DataFrame, bits: int, kind: str) -> np.ndarray:
+    """A table of ``2 ** bits`` numbers of the given kind, the sum of the rows' ``places`` and ``values`` in each ``part``."""
+    length = 1 << bits - PART_BITS
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, places, values in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "values")), strict=True):
+                total = sums.setdefault(part, np.zeros(length, dtype=np.uint64))
+                # A row's places differ.
+                total[np.frombuffer(places, dtype=np.uint16)] += np.frombuffer(values, dtype=np.uint32)
+        for part, total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes()], pa.binary())], ["part", "sums"]
+            )
+
+    table = np.zeros(1 << bits, dtype=kind)
+    found = parts.repartition(1 << PART_BITS, "part").mapInArrow(add, "part int, sums binary").toArrow()
+    for part, sums in zip(found["part"].to_pylist(), found["sums"].to_pylist(), strict=True):
+        table[part * length : (part + 1) * length] = np.frombuffer(sums, dtype=kind)
+    return table
+
+
 def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
     """A written table of all lines (``id, row, no, size, line``) and the words' counts by bucket."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        names = ["id", "row", "no", "size", "line"]
+        counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
+        names = ["id", "row", "no", "size", "line", "part", "places", "values"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             h, _, first, size, row, number = _line_sets(batch.column("text"))
-            np.add.at(counts, (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+            np.add.at(counts, (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.uint32(1))
             if not len(first):
                 continue
             # The set's name: a sum over its words, so their order does not matter.
@@ -84,19 +122,18 @@ def _rare_counts(texts: DataFrame, least: int) -> tuple[DataFrame, np.ndarray]:
             long = size >= least
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
             arrays = [pa.array(ids[row[long]]), pa.array(keys[row[long]]), pa.array(number[long], pa.int32()), pa.array(size[long], pa.int32()), pa.array(line[long].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-        every = np.flatnonzero(counts)
-        for i in range(0, len(every), 1 << 16):
-            used = every[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(np.zeros(len(used), dtype=np.int32)), pa.nulls(len(used), pa.int64())], names
-            )
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), t) for t in types[5:])], names)
+        for part, own in enumerate(counts.reshape(1 << PART_BITS, -1)):
+            used = np.flatnonzero(own)
+            if len(used):
+                arrays = [pa.nulls(1, t) for t in types[:5]]
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (used.astype(np.uint16), own[used])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([part], pa.int32()), *packed], names)
 
-    seen = written(mapped(texts, collect, "id long, row long, no int, size int, line long", rows=500, size=SLICE_BYTES), "lines")
-    counts = np.zeros(1 << BUCKET_BITS, dtype=np.uint32)
-    summed = seen.where("line IS NULL").groupBy("no").agg(F.sum("id").alias("n")).toArrow()
-    counts[summed["no"].to_numpy()] = np.minimum(summed["n"].to_numpy(), (1 << 32) - 1).astype(np.uint32)
-    return seen.where("line IS NOT NULL"), counts
+    schema = "id long, row long, no int, size int, line long, part int, places binary, values binary"
+    seen = written(mapped(texts, collect, schema, rows=500, size=SLICE_BYTES), "lines")
+    counts = _added(seen.where("line IS NULL").select("part", "places", "values"), BUCKET_BITS, "uint32")
+    return seen.where("line IS NOT NULL").select("id", "row", "no", "size", "line"), counts
 
 
 def _prefixes(texts: DataFrame, rarity: np.ndarray, n_lines: int, percent: int, least: int) -> DataFrame:
@@ -108,8 +145,9 @@ def _prefixes(texts: DataFrame, rarity: np.ndarray, n_lines: int, percent: int,
     depends on the words' counts alone, hence both lines have the key. ``pos`` is the last word's place less the words
     before it in the key. Short lines that only equal sets can be similar to have no rows. ``line`` is the set's name; ``sketch``
     has a bit for each of 64 classes of words, set where the line has an odd number of them; the highest 24 bits of
-    ``token`` are the count of its rarest word, which bounds the key's.
+    ``token`` are the count of its rarest word, which bounds the key's. A word counted once is no key: no other line has it.
     """
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, rank, first, size, _, _ = _line_sets(batch.column("text"), rarity)
@@ -124,7 +162,7 @@ def _prefixes(texts: DataFrame, rarity: np.ndarray, n_lines: int, percent: int,
             sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), first).view(np.int64)
             alone = (percent * (size + 1) > 100 * size) & (percent * size > 100 * (size - 1)) & (percent * (size + 1) > 100 * (size - 1))
             count = _count(h, rarity).astype(np.float64)
-            last = np.flatnonzero((place < probe[line]) & (size >= least)[line] & ~alone[line])
+            last = np.flatnonzero((place < probe[line]) & (size >= least)[line] & ~alone[line] & (count > 1))
             key, expected, top = rank[last], count[last], rank[last] >> np.uint64(40) << np.uint64(40)
             found = []
             for depth in range(1, DEEPEST + 1):
@@ -248,18 +286,64 @@ def _met(prefixes: DataFrame, percent: int) -> DataFrame:
     return mapped(placed.select(*_ROW), meet, schema, rows=20_000)
 
 
+def _wanted(names: DataFrame) -> np.ndarray:
+    """A table of ``2 ** WANTED_BITS`` bits, eight to a byte, with those set that the lines' names hash to."""
+    length = 1 << WANTED_BITS - PART_BITS - 3
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = _bit(batch.column("line").to_numpy())
+            for part in np.unique(at >> (WANTED_BITS - PART_BITS)).tolist():
+                own = at[at >> (WANTED_BITS - PART_BITS) == part] & ((1 << WANTED_BITS - PART_BITS) - 1)
+                bits = marks.setdefault(part, np.zeros(length, dtype=np.uint8))
+                np.bitwise_or.at(bits, own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        for part, bits in marks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    table = np.zeros(length << PART_BITS, dtype=np.uint8)
+    parts = names.repartition(1 << PART_BITS, F.shiftrightunsigned("line", 64 - PART_BITS))
+    found = parts.mapInArrow(mark, "part int, bits binary").toArrow()
+    for part, bits in zip(found["part"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        table[part * length : (part + 1) * length] |= np.frombuffer(bits, dtype=np.uint8)
+    return table
+
+
+def _bit(line: np.ndarray) -> np.ndarray:
+    return (line.view(np.uint64) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+
+def _words_of(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """``line, words``: the names and distinct words, as hashes, of the lines whose names have their bit in ``wanted``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, _, first, size, _, _ = _line_sets(batch.column("text"))
+            if not len(first):
+                continue
+            line = np.add.reduceat(mixed(h), first).view(np.int64)
+            bit = _bit(line)
+            once = np.zeros(len(line), dtype=bool)
+            once[np.unique(line, return_index=True)[1]] = True
+            kept = np.flatnonzero(once & (wanted[bit >> 3] >> (bit & 7).astype(np.uint8) & np.uint8(1)).astype(bool))
+            words = h[np.repeat(first[kept] - np.cumsum(size[kept]) + size[kept], size[kept]) + np.arange(size[kept].sum())]
+            ends = pa.array(np.append(0, np.cumsum(size[kept])), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(line[kept]), pa.ListArray.from_arrays(ends, pa.array(words.view(np.int64)))], ["line", "words"])
+
+    return mapped(texts, emit, "line long, words array<long>", rows=500, size=SLICE_BYTES)
+
+
 def _similar(texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (early, late) whose sets of words have the Jaccard similarity, compared word by word."""
-    ends = pairs.select(F.explode(F.array("early", "late")).alias("at")).distinct()
-    wanted = ends.groupBy("at.id", "at.row").agg(F.collect_set("at.no").alias("nos"))
-    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    known = lookup_join(texts, wanted, ["id", "row"])
-    numbered = known.select("id", "row", "nos", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.array_contains("nos", F.col("no")))
-    sets = numbered.withColumn("text", F.col("line")).select(
-        F.struct("id", "row", "no").alias("at"), F.array_distinct(F.array_remove(F.split(lower, SPACE), "")).alias("words")
-    ).dropDuplicates(["at"])
-    side = lambda name: sets.select(F.col("at").alias(name), F.col("words").alias(f"{name}_words"))
-    both = pairs.join(side("early"), "early").join(side("late"), "late")
+    """The pairs (early, late) whose sets of words have the Jaccard similarity, compared on all words by their 64-bit hashes.
+
+    Texts stay where they are: a task sends only the words of lines that may be in a pair, once for each name.
+    """
+    names = pairs.select(F.explode(F.array("early.line", "late.line")).alias("line"))
+    sets = _words_of(texts, _wanted(names)).dropDuplicates(["line"])
+    side = lambda name: sets.select(F.col("line").alias(f"{name}_line"), F.col("words").alias(f"{name}_words"))
+    both = pairs
+    for name in ("early", "late"):
+        both = both.join(side(name), F.col(f"{name}.line") == F.col(f"{name}_line"))
     common = F.size(F.array_intersect("early_words", "late_words"))
     union = F.size("early_words") + F.size("late_words") - common
     return both.where(100 * common >= percent * union).select("early", "late")
@@ -296,18 +380,18 @@ def _later(df: DataFrame, key: str, text: str, percent: int, least: int) -> Data
     blank = lambda l, i: F.when(F.array_contains("gone", i), "").otherwise(l)
     rest = held.select("id", "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(F.split("text", "\n"), blank), "\n")).alias("text"))
     gathered = written(_met(_prefixes(rest, rarity, lines.count(), percent, least), percent), "lines-met")
-    place = lambda name: firsts.select(F.col("line").alias(name), F.col("first").alias(f"at_{name}"))
+    place = lambda name: firsts.select(F.col("line").alias(name), F.struct("first.id", "first.row", "first.no", "line").alias(f"at_{name}"))
     close = gathered.where("token IS NULL").select(F.col("line").alias("x"), F.col("other").alias("y")).distinct()
     close = close.join(place("x"), "x").join(place("y"), "y").where("at_x <> at_y")
     close = written(close.select(F.least("at_x", "at_y").alias("early"), F.greatest("at_x", "at_y").alias("late")), "lines-close")
 
     often = gathered.where("token IS NOT NULL").drop("other").join(place("line"), "line")
-    often = often.select("token", F.struct("at_line.id", "at_line.row", "at_line.no", "size", "pos", "small", "sketch").alias("l"))
+    often = often.select("token", F.struct("at_line.id", "at_line.row", "at_line.no", "size", "pos", "small", "sketch", "line").alias("l"))
     heads = written(often.groupBy("token").agg(F.min("l").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "lines-heads")
     rows = salted_join(often, heads.drop("_n"), ["token"], sizes=heads.select("token", "_n")).select("token", "l", "head")
     rows = written(rows, "lines-prefixes")
 
-    place = lambda side: F.struct(*[F.col(f"{side}.{k}").alias(k) for k in ("id", "row", "no")])
+    place = lambda side: F.struct(*[F.col(f"{side}.{k}").alias(k) for k in ("id", "row", "no", "line")])
     pair = lambda df, e, l: df.select(place(e).alias("early"), place(l).alias("late")).distinct()
     starred = rows.where((place("head") < place("l")) & _may_match("head", "l", percent))
     nearest = close.groupBy("late").agg(F.min("early").alias("early"))

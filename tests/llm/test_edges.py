@@ -497,6 +497,39 @@ def test_lines_of_a_rare_word_meet_once_each():
     assert found == sorted(told) and told
 
 
+def test_only_words_of_compared_lines_leave_their_task(spark):
+    """Each such line once, whatever its copies; the texts are not sent."""
+    every = [" ".join(f"w{i}x{k}" for k in range(6)) for i in range(200)]
+    texts = spark.createDataFrame([(i, i, "\n".join(every[i % 200 : i % 200 + 3])) for i in range(400)], "id long, row long, text string")
+    found, counts = lines._rare_counts(texts, 1)
+    assert found.columns == ["id", "row", "no", "size", "line"] and found.count() == 2 * (198 * 3 + 2 + 1)
+    # 200 lines of six words, the first in one text, the second in two, the others in three; every text twice.
+    assert counts.sum() == 6 * found.count()
+    names = found.where("no = 0 AND id IN (3, 50, 203)").select("line").distinct()
+    got = lines._words_of(texts, lines._wanted(names)).dropDuplicates(["line"]).collect()
+    assert {r["line"] for r in got} == {r["line"] for r in names.collect()} and len(got) == 2
+    assert all(len(set(r["words"])) == 6 for r in got)
+
+
+def test_words_of_one_line_are_no_keys(spark):
+    texts = spark.createDataFrame([(i, i, f"only{i} same{i // 2} a b c d e f g h") for i in range(20)], "id long, row long, text string")
+    found, counts = lines._rare_counts(texts, 1)
+    keys = lines._prefixes(texts, counts, found.count(), 80, 1).select("token").collect()
+    assert keys and min((r["token"] & (1 << 64) - 1) >> 40 for r in keys) == 2
+
+
+def test_words_that_tie_in_the_sorted_bits_keep_their_order():
+    rng = np.random.default_rng(3)
+    line = np.sort(rng.integers(0, 5, 400))
+    for spread in (4, 1 << 62):
+        h = rng.integers(0, spread, 400).astype(np.uint64)
+        rank = h & np.uint64(1) << np.uint64(40)
+        for r in (h, rank):
+            order = lines._by_line(line, r, h)
+            want = np.lexsort((h, r, line))
+            assert all((x[order] == x[want]).all() for x in (line, r, h))
+
+
 @pytest.mark.parametrize("tag", ["<div>", "<b>", "<table><tr><td>", '<div class="a b">x'])
 def test_ten_thousand_nested_elements(tag):
     page = f"<html><body><article>{tag * 10_000}text"
