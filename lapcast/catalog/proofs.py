@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.errors import PySparkException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,16 +185,22 @@ _HISTORY = T.StructType([T.StructField("nageur_id", T.LongType()), *IMPORTED_RAC
 
 
 def exported_histories(spark, sf_dir) -> str:
-    """A folder of JSON arrays, one a customer, as an export could leave them: some elements are no JSON, some arrays have no end."""
+    """A folder of JSON arrays, one a customer, as an export could leave them: some elements are no JSON, some arrays have no end.
+
+    Every element is a line of its own, so no customer's elements are gathered.
+    """
     race = F.struct(
         F.col("o_custkey").alias("nageur_id"), F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("nage"),
         (F.col("o_orderkey") % 3 * 50 + 50).alias("distance"), F.lit(50).alias("bassin"), F.round("o_totalprice", 2).alias("temps"),
     )
     element = F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit('{"nage": none of this, "temps": '), F.col("o_orderkey"), F.lit("}"))).otherwise(F.to_json(race))
-    arrays = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(element), ",\n").alias("e"))
     end = F.when(F.col("o_custkey") % 40 == 0, F.lit("")).otherwise(F.lit("]"))
+    of_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    start = F.when(F.row_number().over(of_customer) == 1, F.lit("[")).otherwise(F.lit(""))
+    more = F.lead(F.lit(True)).over(of_customer)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", start.alias("start"), more.alias("more"))
     path = fresh_path(spark, "histories")
-    arrays.select(F.concat(F.lit("["), "e", end).alias("value")).write.text(path)
+    orders.select(F.concat("start", element, F.when(F.col("more"), F.lit(",")).otherwise(end)).alias("value")).write.text(path)
     return path
 
 
