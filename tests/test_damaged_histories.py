@@ -62,3 +62,10 @@ def odd_ends(spark, tmp_path):
 def test_broken_rows_of_arrays_that_end_in_damage(spark, odd_ends):
     path, con = odd_ends
     assert compare.difference(proofs.broken_rows(spark, path), con, SQL["s3_broken_rows"]) is None
+
+
+def test_history_files_are_read_once_and_whole(spark, odd_ends):
+    path, con = odd_ends
+    found = proofs.history_files(spark, path)
+    assert "json_arrays" not in found._jdf.queryExecution().toString()
+    assert compare.difference(found, con, SQL["s3_history_files"]) is None
