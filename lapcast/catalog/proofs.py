@@ -218,10 +218,11 @@ def exported_histories(spark, sf_dir) -> str:
 def history_files(spark, sf_dir):
     """The histories of all customers, read from their files and joined with the profiles.
 
-    The races are stored once: the join counts its keys first, which else would read all files twice.
+    The rows are stored once, and bad ones left out behind that: the join counts its keys first, which else would read all files
+    twice, and a filter before would parse every element twice.
     """
-    races = json_arrays.read_histories(spark, exported_histories(spark, sf_dir), _HISTORY).where("_bad_row IS NULL")
-    races = written(races.select(*_HISTORY.names), "races")
+    rows = json_arrays.read_histories(spark, exported_histories(spark, sf_dir), _HISTORY)
+    races = written(rows.select(*_HISTORY.names, "_bad_row"), "races").where("_bad_row IS NULL").drop("_bad_row")
     profiles = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("nageur_id"),
         F.when(F.col("c_nationkey") % 2 == 0, F.lit("F")).otherwise(F.lit("M")).alias("nageur_sexe"),
